@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,7 +77,7 @@ def held_out(doc_id: Column | str) -> Column:
 def batch_slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the text of a slice has about `limit` bytes (one row may have more)."""
     for batch in batches:
-        size = pa.compute.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)
+        size = pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)
         start, total = 0, 0
         for i, n in enumerate(size):
             n = 0 if n != n else int(n)
