@@ -6,11 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import op7_bpe
 from .exact_dedup import OP8_SQL, op8_exact_dedup
+from .jaccard_join import op5_ngram_jaccard
+from .toxicity import op1_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": op1_toxicity,
+        "op5_ngram_jaccard": op5_ngram_jaccard,
+        "op7_bpe": op7_bpe,
         "op8_exact_dedup": op8_exact_dedup,
     }
 
