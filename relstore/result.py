@@ -29,8 +29,8 @@ class CommandResult:
 class SelectResult:
     """columns and a lazy DataFrame (df). rows and stats run it; its files stay whatever is changed later."""
 
-    def __init__(self, columns: list[str], df: DataFrame, examined: Callable[[], tuple[str, int, int]]):
-        self.columns, self.df, self._examined = columns, df, examined
+    def __init__(self, columns: list[str], types: list[str], df: DataFrame, examined: Callable[[], tuple[str, int, int]]):
+        self.columns, self.types, self.df, self._examined = columns, types, df, examined
         self._rows: list[tuple] | None = None
         self._stats: Stats | None = None
 
