@@ -194,7 +194,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
     known = labels.select(F.col("doc_id"), F.col(label).cast("int").alias("label")).filter(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull())
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
     known = known.withColumn("fold", fold).filter("fold <> 0")
-    train = base.join(known.filter(F.col("fold") != CURVE_FOLD).select("doc_id", "label"), "doc_id").select("text", "label")
+    # Labels grow with the corpus: a sort-merge join at every size.
+    train = base.join(known.filter(F.col("fold") != CURVE_FOLD).select("doc_id", "label").hint("merge"), "doc_id").select("text", "label")
     per_task = train.mapInArrow(_count(ORDER, BITS), "slot long, toxic long, ordinary long, context long, shorter long, shorter_context long")
     counts = per_task.groupBy("slot").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"), *(F.min(c).alias(c) for c in ("context", "shorter", "shorter_context")))
     # At most 2**BITS rows.
