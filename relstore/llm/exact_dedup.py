@@ -124,8 +124,10 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", cap
 
 
 def kept_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that stay, with their own columns."""
-    return exact_dedup(docs, doc_id, text).filter("kept").select(*docs.columns)
+    """The documents that stay, with their own columns, whatever those are called."""
+    own = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    ids, texts = (f"c{docs.columns.index(c)}" for c in (doc_id, text))
+    return exact_dedup(own, ids, texts).filter("kept").select(*own.columns).toDF(*docs.columns)
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -148,8 +148,12 @@ def split_records(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], byt
 def _put(fs: pafs.FileSystem, path: str, write) -> None:
     """Write beside the place and move there, so that a file is there whole or not at all."""
     part = f"{path}.{uuid.uuid4().hex}.part"
-    with fs.open_output_stream(part) as out:
-        write(out)
+    try:
+        with fs.open_output_stream(part) as out:
+            write(out)
+    except BaseException:
+        fs.delete_file(part)
+        raise
     fs.move(part, path)
 
 
