@@ -14,6 +14,7 @@ A token that touches no section is counted under section null. So the counts of
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +28,10 @@ RULE = "first"
 
 def lines(text: str) -> list[tuple[int, int]]:
     """Lines with their line feed; an empty text is one empty line."""
-    ends = [i + 1 for i, c in enumerate(text) if c == "\n"]
-    if not ends or ends[-1] < len(text) or not text:
-        ends.append(len(text))
+    ends = list(accumulate(len(x) + 1 for x in text.split("\n")))
+    ends[-1] -= 1  # the last line has no line feed
+    if len(ends) > 1 and ends[-1] == ends[-2]:
+        ends.pop()
     return list(zip([0, *ends[:-1]], ends, strict=True))
 
 
