@@ -78,24 +78,25 @@ def metadata(texts: pa.Array, lang: list, source: list) -> np.ndarray:
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float, steps: int = 200) -> np.ndarray:
     """Weights and a last constant, by accelerated gradient descent."""
     x1 = np.concatenate([x, np.ones((len(x), 1), x.dtype)], axis=1)
-    w = np.zeros(x1.shape[1])
+    y = y.astype(x1.dtype)
+    w = np.zeros(x1.shape[1], x1.dtype)  # of the rows' precision: mixed products would copy all rows
     if not len(y) or y.min() == y.max():
         w[-1] = 0.0 if not len(y) else (4.0 if y[0] else -4.0)
         return w
     # Power iterations bound the curvature.
-    v = np.ones(x1.shape[1]) / np.sqrt(x1.shape[1])
+    v = np.full(x1.shape[1], 1 / np.sqrt(x1.shape[1]), x1.dtype)
     for _ in range(20):
         v = x1.T @ (x1 @ v)
-        top = np.linalg.norm(v)
-        v /= top
-    rate = 1 / (0.25 * top / len(y) * 1.05 + ridge)
+        top = float(np.linalg.norm(v))
+        v /= x1.dtype.type(top)
+    rate = x1.dtype.type(1 / (0.25 * top / len(y) * 1.05 + ridge))
     last, t = w.copy(), 1.0
     for _ in range(steps):
-        u = 1 + np.sqrt(1 + 4 * t * t)
-        ahead = w + (t - 1) / (u / 2) * (w - last)
-        t = u / 2
+        u = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        ahead = w + x1.dtype.type((t - 1) / u) * (w - last)
+        t = u
         p = 1 / (1 + np.exp(-np.clip(x1 @ ahead, -30, 30)))
-        g = x1.T @ (p - y) / len(y) + ridge * ahead
+        g = x1.T @ (p - y) / x1.dtype.type(len(y)) + x1.dtype.type(ridge) * ahead
         last, w = w, ahead - rate * g
     return w
 
