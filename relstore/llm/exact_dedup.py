@@ -114,7 +114,7 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", cap
     lookup = index.select(F.col("key").alias("__key"), F.col("sha").alias("__sha"), F.col("keep_id").alias("__keep"), F.col("group_size").alias("__size"))
     rows = keyed(docs.drop(*({"keep_id", "group_size", "kept", "text_sha256"} - {doc_id, text})), text).drop("__norm")
     return (
-        rows.join(lookup, ["__key", "__sha"])
+        rows.join(lookup.hint("merge"), ["__key", "__sha"])
         .withColumn("keep_id", F.col("__keep"))
         .withColumn("group_size", F.col("__size"))
         .withColumn("kept", F.col(doc_id).eqNullSafe(F.col("__keep")))

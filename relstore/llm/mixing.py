@@ -174,7 +174,7 @@ def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", source: str = "sour
     """The documents of the mix, each as often as it is taken. Ids are taken to be unique."""
     copies = mix_sources(docs, doc_id, source, text).select(F.col(doc_id).alias("id"), "copies").filter("copies > 0")
     own = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
-    joined = own.join(copies, own[docs.columns.index(doc_id)].eqNullSafe(F.col("id")))
+    joined = own.join(copies.hint("merge"), own[docs.columns.index(doc_id)].eqNullSafe(F.col("id")))
     repeated = joined.withColumn("n", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return repeated.select(*own.columns).toDF(*docs.columns)
 

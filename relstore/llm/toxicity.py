@@ -219,7 +219,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that aren't predicted toxic; rows with the same id go together, rows with a null id stay."""
     gone = score_toxicity(docs, labels).filter("predicted = 1").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
