@@ -9,16 +9,16 @@ is rare in a class has thus about the same probability in both models.
 The score of a text is its mean log-likelihood a word under the toxic model less that under the ordinary one,
 put through a logistic curve that is fitted on labelled rows whose texts weren't counted.
 
-Counting covers all labelled rows that may be learnt from. The n-grams are counted in 2**BITS slots by hash, so that what the
-driver gathers and broadcasts is bounded by that, whatever the corpus is.
+Counting covers all labelled rows that may be learnt from. An n-gram's bytes are its key, so that none share counts. What the
+driver gathers (24 bytes an n-gram) and broadcasts (12 bytes) grows with the distinct n-grams of the labelled texts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,8 +27,8 @@ from .common import Workspace, batch_slices, held_out, read
 from .textkernel import text_buffer
 
 ORDER = 5
-#: Slots of n-grams: at most 2**BITS rows of five numbers reach the driver, 4 * 2**BITS bytes are broadcast.
-BITS = 20
+#: N-grams that a counting task holds before it passes them on.
+FLUSH = 1 << 21
 #: How much stronger the shared backoff counts than by the discounts alone.
 STRENGTH = 20
 #: Of the folds by crc32 that may be learnt from, the one that fits the curve; the others are counted.
@@ -42,7 +42,6 @@ _TABLE = np.full(256, 32, np.uint8)
 _TABLE[97:123] = np.arange(97, 123)
 _TABLE[65:91] = np.arange(97, 123)
 _TABLE[128:] = np.arange(128, 256)
-_MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
 
 def letters(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -58,33 +57,38 @@ def letters(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buffer[keep], row[keep]
 
 
-def slots(codes: np.ndarray, order: int, bits: int, at: int = 0, width: int | None = None) -> np.ndarray:
-    """Slots of codes[i + at : i + at + width] for every n-gram i of `order`."""
-    m, width = len(codes) - order + 1, width or order
-    h = np.zeros(m, np.uint64)
-    for j in range(at, at + width):
-        h = h * np.uint64(257) + codes[j : j + m] + np.uint64(1)
-    return (((h + np.uint64(width)) * _MULTIPLY) >> np.uint64(64 - bits)).astype(np.int64)
+def ngrams(codes: np.ndarray, order: int) -> np.ndarray:
+    """Every n-gram of `order` <= 7 bytes as a number: its bytes, the first one highest."""
+    m = len(codes) - order + 1
+    out = np.zeros(m, np.int64)
+    for j in range(order):
+        out = out << 8 | codes[j : j + m]
+    return out
 
 
-def _count(order: int, bits: int):
-    """slot, toxic, ordinary, and the slots of the context, of the n-gram without its first byte, and of that one's context."""
+def _count(order: int):
+    """ngram, toxic, ordinary: distinct texts of the task that have it, in parts of about FLUSH n-grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = 1 << bits
-        counts = np.zeros((2, size), np.int64)
-        related = np.zeros((3, size), np.int32)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         seen: set[bytes] = set()
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            key, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+            counts = np.stack([np.bincount(at, weights=np.concatenate([n[c] for _, n in held]), minlength=len(key)).astype(np.int64) for c in (0, 1)])
+            return key, counts
+
+        def batch(key: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(counts[1]), pa.array(counts[0])], names=["ngram", "toxic", "ordinary"])
+
         for part in batch_slices(batches, "text"):
             codes, row = letters(part.column("text"))
             label = part.column("label").to_numpy(zero_copy_only=False)
             if len(codes) < order:
                 continue
-            wide = codes.astype(np.uint64)
-            slot = slots(wide, order, bits)
-            whole = row[: len(slot)] == row[order - 1 :]
-            for k, (start, width) in enumerate(((0, order - 1), (1, order - 1), (1, order - 2))):
-                related[k][slot[whole]] = slots(wide, order, bits, start, width)[whole]
+            gram = ngrams(codes, order)
+            of = row[: len(gram)]
+            whole = of == row[order - 1 :]
             first = np.searchsorted(row, np.arange(part.num_rows + 1))
             fresh = np.zeros(part.num_rows, bool)
             for i in range(part.num_rows):
@@ -92,46 +96,56 @@ def _count(order: int, bits: int):
                 if text not in seen:
                     seen.add(text)
                     fresh[i] = True
-            whole &= fresh[row[: len(slot)]]
-            once = np.unique(row[: len(slot)][whole] << bits | slot[whole])
-            own, of = once & (size - 1), label[once >> bits]
-            for c in (0, 1):
-                counts[c] += np.bincount(own[of == c], minlength=size)
-        used = np.flatnonzero(counts.any(axis=0))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(used), pa.array(counts[1][used]), pa.array(counts[0][used])] + [pa.array(x[used].astype(np.int64)) for x in related],
-            names=["slot", "toxic", "ordinary", "context", "shorter", "shorter_context"],
-        )
+            whole &= fresh[of]
+            key, at = np.unique(gram[whole], return_inverse=True)
+            once = np.unique(of[whole] * len(key) + at)
+            own, kind = once % max(len(key), 1), label[once // max(len(key), 1)]
+            held.append((key, np.stack([np.bincount(own[kind == c], minlength=len(key)) for c in (0, 1)])))
+            if sum(len(k) for k, _ in held) > FLUSH:
+                held = [merged()]
+                if len(held[0][0]) > FLUSH // 2:
+                    yield batch(*held.pop())
+        if held:
+            yield batch(*merged())
 
     return run
 
 
-def log_ratios(found: pd.DataFrame, bits: int = BITS, strength: float = STRENGTH) -> np.ndarray:
-    """log p(byte | context, toxic) - log p(byte | context, ordinary) by slot; 0 where neither class has the n-gram."""
-    size = 1 << bits
-    out = np.zeros(size, np.float32)
-    c = {1: found["toxic"].to_numpy(float), 0: found["ordinary"].to_numpy(float)}
+class Ratios(NamedTuple):
+    """log p(byte | context, toxic) - log p(byte | context, ordinary) by n-gram, ascending."""
+
+    ngram: np.ndarray
+    value: np.ndarray
+
+    def of(self, gram: np.ndarray) -> np.ndarray:
+        """Values of n-grams; 0 where neither class has the n-gram."""
+        if not len(self.ngram):
+            return np.zeros(len(gram), np.float32)
+        at = np.minimum(np.searchsorted(self.ngram, gram), len(self.ngram) - 1)
+        return np.where(self.ngram[at] == gram, self.value[at], np.float32(0))
+
+
+def log_ratios(ngram: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray, order: int = ORDER, strength: float = STRENGTH) -> Ratios:
+    """From the counts of distinct n-grams, ascending."""
+    c = {1: toxic.astype(float), 0: ordinary.astype(float)}
     if not c[1].sum() or not c[0].sum():
-        return out
-    context, shorter, lower = (found[k].to_numpy(np.int64) for k in ("context", "shorter", "shorter_context"))
+        return Ratios(np.zeros(0, np.int64), np.zeros(0, np.float32))
+    # By number: the context, the n-grams without their first byte, and of those the context.
+    context = np.unique(ngram >> 8, return_inverse=True)[1]
+    shorts, shorter = np.unique(ngram & ((1 << 8 * (order - 1)) - 1), return_inverse=True)
+    lower = np.unique(shorts >> 8, return_inverse=True)[1]
 
     def discount(n: np.ndarray) -> float:
         n1, n2 = (n == 1).sum(), (n == 2).sum()
         return n1 / (n1 + 2 * n2) if n1 and n2 else 0.75
 
     def total(weights: np.ndarray, key: np.ndarray) -> np.ndarray:
-        return np.bincount(key, weights=weights, minlength=size)[key]
+        return np.bincount(key, weights=weights)[key]
 
     # Continuation counts: distinct n-grams that end in the shorter one.
-    cont = np.bincount(shorter, minlength=size).astype(float)
-    one = np.unique(shorter, return_index=True)[1]
-    owner = np.zeros(size, np.int64)
-    owner[shorter[one]] = lower[one]
-    lower = owner[shorter]  # one context for each slot, also where two n-grams share it
-    per_lower = np.bincount(lower[one], weights=cont[shorter[one]], minlength=size)
-    kinds = np.bincount(lower[one], minlength=size)
-    d = discount(cont[shorter[one]])
-    base = (np.maximum(cont[shorter] - d, 0) + d * kinds[lower] / 64) / per_lower[lower]
+    cont = np.bincount(shorter).astype(float)
+    d = discount(cont)
+    base = ((np.maximum(cont - d, 0) + d * total(cont > 0, lower) / 64) / total(cont, lower))[shorter]
     pooled = c[0] + c[1]
     d = discount(pooled)
     shared = (np.maximum(pooled - d, 0) + d * total(pooled > 0, context) * base) / total(pooled, context)
@@ -143,20 +157,19 @@ def log_ratios(found: pd.DataFrame, bits: int = BITS, strength: float = STRENGTH
         known = mass > 0
         mass = np.where(known, mass, 1)
         p[k] = np.where(known, np.maximum(c[k] - d, 0) / mass + freed * strength / mass * shared, shared)
-    out[found["slot"].to_numpy(np.int64)] = np.log(p[1]) - np.log(p[0])
-    return out
+    return Ratios(ngram, (np.log(p[1]) - np.log(p[0])).astype(np.float32))
 
 
-def _measure(order: int, bits: int, table_b):
+def _measure(order: int, ratios_b):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = table_b.value
+        ratios = Ratios(*ratios_b.value)
         for part in batch_slices(batches, "text"):
             n = part.num_rows
             codes, row = letters(part.column("text"))
             words = np.maximum(np.bincount(row[codes == 32], minlength=n) - 1, 0)
             total = np.zeros(n)
             if len(codes) >= order:
-                value = table[slots(codes.astype(np.uint64), order, bits)]
+                value = ratios.of(ngrams(codes, order))
                 value[row[: len(value)] != row[order - 1 :]] = 0
                 total = np.bincount(row[: len(value)], weights=value, minlength=n)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(total / np.maximum(words, 1)), pa.array(words.astype(np.int64))], names=["doc_id", "delta", "words"])
@@ -196,12 +209,13 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
     known = known.withColumn("fold", fold).filter("fold <> 0")
     # Labels grow with the corpus: a sort-merge join at every size.
     train = base.join(known.filter(F.col("fold") != CURVE_FOLD).select("doc_id", "label").hint("merge"), "doc_id").select("text", "label")
-    per_task = train.mapInArrow(_count(ORDER, BITS), "slot long, toxic long, ordinary long, context long, shorter long, shorter_context long")
-    counts = per_task.groupBy("slot").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"), *(F.min(c).alias(c) for c in ("context", "shorter", "shorter_context")))
-    # At most 2**BITS rows.
-    found = counts.toPandas().sort_values("slot")
-    table = spark.sparkContext.broadcast(log_ratios(found))
-    measured = ws.table(base.mapInArrow(_measure(ORDER, BITS, table), f"doc_id {docs.schema[doc_id].dataType.simpleString()}, delta double, words long"), "measured")
+    per_task = train.mapInArrow(_count(ORDER), "ngram long, toxic long, ordinary long")
+    counts = per_task.groupBy("ngram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")).toArrow()
+    ngram, toxic, ordinary = (counts.column(c).to_numpy() for c in ("ngram", "toxic", "ordinary"))
+    by = np.argsort(ngram)
+    ratios = spark.sparkContext.broadcast(tuple(log_ratios(ngram[by], toxic[by], ordinary[by])))
+    del counts, ngram, toxic, ordinary, by
+    measured = ws.table(base.mapInArrow(_measure(ORDER, ratios), f"doc_id {docs.schema[doc_id].dataType.simpleString()}, delta double, words long"), "measured")
     fitting = measured.join(known.filter(F.col("fold") == CURVE_FOLD).select("doc_id", "label"), "doc_id")
     rows = fitting.orderBy(F.xxhash64("doc_id"), "delta", "words", "label").limit(CURVE_ROWS).select("delta", "words", "label").toPandas()
     x = np.stack([np.ones(len(rows)), np.clip(rows["delta"].to_numpy(float), -CLIP, CLIP), np.log1p(rows["words"].to_numpy(float))], axis=1)
