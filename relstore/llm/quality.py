@@ -3,12 +3,15 @@
 * Content: relative frequencies of byte trigrams of the text, in WIDTH slots by hash.
 * Metadata: language, source, length and the page's shape (lines, their lengths and repeats; shares of capitals, digits and signs).
 
-Both are logistic models. They begin with the labelled rows. In each round, each model labels those rows of an unlabelled pool that
+Both are logistic models. They begin with the labelled rows. In each round, each model labels those of all unlabelled documents that
 it is surest of, as many of either label as their shares say, and gives them to the other model, which learns them too. At
 the end each view is calibrated on labelled rows that neither has learnt from, and a document's score is the mean of the two
 calibrated log-odds, as a probability. All documents are scored.
 
-The models are fitted on bounded samples, chosen by a hash of the id: LABELLED rows with labels, POOL rows without.
+Labelled rows are a bounded sample, chosen by a hash of the id. Unlabelled ones are all scored in every round, in the executors,
+and what is given grows with them: GIVEN of every POOL. A model learns its gifts in blocks of about POOL rows by a hash, each with all labelled
+rows at one block's share of weight; the blocks' objectives add up to the whole one, and the model is the mean of theirs
+by size (exact for one block, else an approximation). No state is kept by row: what earlier rounds gave away follows from their models and cuts.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Workspace, batch_slices, held_out, read
@@ -26,11 +29,14 @@ from .textkernel import mix, text_buffer
 from .toxicity import fit_curve
 
 WIDTH, META = 2048, 96
-LABELLED, POOL = 6000, 4000
-ROUNDS, GIVEN = 5, 200
+LABELLED = 6000
+#: In each round a model gives away GIVEN of every POOL unlabelled documents.
+POOL, ROUNDS, GIVEN = 4000, 5, 200
+#: Sureness is ranked in steps of 1 / STEPS log-odds up to LIMIT; in the last step, a hash chooses.
+STEPS, LIMIT = 1024, 32
 #: Of the folds by crc32 that may be learnt from, the one that calibrates.
 CALIBRATION_FOLD = 4
-SCALE = 30.0
+SCALE, RIDGE = 30.0, 1e-4
 _UPPER, _DIGIT, _SIGN, _LETTER = (np.zeros(256, bool) for _ in range(4))
 _UPPER[65:91] = True
 _DIGIT[48:58] = True
@@ -75,28 +81,30 @@ def metadata(texts: pa.Array, lang: list, source: list) -> np.ndarray:
     return out
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float, steps: int = 200) -> np.ndarray:
-    """Weights and a last constant, by accelerated gradient descent."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float, steps: int = 200, weight: np.ndarray | None = None) -> np.ndarray:
+    """Weights and a last constant, by accelerated gradient descent; weight: of the rows, 1 by default."""
     x1 = np.concatenate([x, np.ones((len(x), 1), x.dtype)], axis=1)
     y = y.astype(x1.dtype)
     w = np.zeros(x1.shape[1], x1.dtype)  # of the rows' precision: mixed products would copy all rows
     if not len(y) or y.min() == y.max():
         w[-1] = 0.0 if not len(y) else (4.0 if y[0] else -4.0)
         return w
+    of = np.ones(len(y), x1.dtype) if weight is None else weight.astype(x1.dtype)
+    size = of.sum(dtype=float)
     # Power iterations bound the curvature.
     v = np.full(x1.shape[1], 1 / np.sqrt(x1.shape[1]), x1.dtype)
     for _ in range(20):
-        v = x1.T @ (x1 @ v)
+        v = x1.T @ (of * (x1 @ v))
         top = float(np.linalg.norm(v))
         v /= x1.dtype.type(top)
-    rate = x1.dtype.type(1 / (0.25 * top / len(y) * 1.05 + ridge))
+    rate = x1.dtype.type(1 / (0.25 * top / size * 1.05 + ridge))
     last, t = w.copy(), 1.0
     for _ in range(steps):
         u = (1 + np.sqrt(1 + 4 * t * t)) / 2
         ahead = w + x1.dtype.type((t - 1) / u) * (w - last)
         t = u
         p = 1 / (1 + np.exp(-np.clip(x1 @ ahead, -30, 30)))
-        g = x1.T @ (p - y) / x1.dtype.type(len(y)) + x1.dtype.type(ridge) * ahead
+        g = x1.T @ (of * (p - y)) / x1.dtype.type(size) + x1.dtype.type(ridge) * ahead
         last, w = w, ahead - rate * g
     return w
 
@@ -106,7 +114,7 @@ def odds(x: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 def co_train(views: list[np.ndarray], y: np.ndarray, pools: list[np.ndarray], rounds: int = ROUNDS, given: int = GIVEN, ridges: tuple[float, float] = (1e-4, 1e-4)) -> list[np.ndarray]:
-    """Weights of both views."""
+    """Weights of both views, in one process; co_train_all() does this to a table."""
     learnt = [(views[k], y.astype(float)) for k in (0, 1)]
     left = np.ones(len(pools[0]), bool)
     share = float(y.mean()) if len(y) else 0.5
@@ -132,12 +140,16 @@ def co_train(views: list[np.ndarray], y: np.ndarray, pools: list[np.ndarray], ro
     return weights
 
 
+def content_view(texts: pa.Array) -> np.ndarray:
+    slot, row, n = trigrams(texts)
+    counts = np.bincount(row * WIDTH + slot, minlength=n * WIDTH).reshape(n, WIDTH)
+    return (counts * SCALE / np.maximum(counts.sum(axis=1, keepdims=True), 1)).astype(np.float16)
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of the samples: label and both views as blobs."""
     for part in batch_slices(batches, "text"):
-        slot, row, n = trigrams(part.column("text"))
-        counts = np.bincount(row * WIDTH + slot, minlength=n * WIDTH).reshape(n, WIDTH)
-        content = (counts * SCALE / np.maximum(counts.sum(axis=1, keepdims=True), 1)).astype(np.float16)
+        content = content_view(part.column("text"))
         meta = metadata(part.column("text"), part.column("lang").to_pylist(), part.column("source").to_pylist()).astype(np.float32)
         yield pa.RecordBatch.from_arrays(
             [part.column("label"), part.column("fold"), pa.array([x.tobytes() for x in content], pa.binary()), pa.array([x.tobytes() for x in meta], pa.binary())],
@@ -145,6 +157,153 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _sureness(part: pa.RecordBatch, models: list[list[np.ndarray]]) -> list[list[np.ndarray]]:
+    """Log-odds of the rows by both views, for each pair of models. The same for a row whatever rows it comes with."""
+    slot, row, n = trigrams(part.column("text"))
+    size = np.maximum(np.bincount(row, minlength=n), 1)
+    meta = metadata(part.column("text"), part.column("lang").to_pylist(), part.column("source").to_pylist())
+    return [[np.bincount(row, weights=c[:-1][slot], minlength=n) * SCALE / size + c[-1], (meta * m[:-1]).sum(axis=1) + m[-1]] for c, m in models]
+
+
+def _steps(z: np.ndarray) -> np.ndarray:
+    return np.floor(np.clip(z, -LIMIT, LIMIT) * STEPS).astype(np.int64)
+
+
+def cut(step: np.ndarray, count: np.ndarray, wanted: int) -> tuple[int, float]:
+    """(step, share): rows above the step and a share of those in it are about `wanted`; steps ascend."""
+    above = np.cumsum(count[::-1])[::-1] - count
+    if not len(step) or above[0] + count[0] <= wanted:
+        return -(1 << 40), 1.0
+    at = int(np.flatnonzero(above < wanted)[0])
+    return int(step[at]), (wanted - above[at]) / count[at]
+
+
+def _verdicts(z: np.ndarray, chance: np.ndarray, cuts: tuple) -> np.ndarray:
+    """1 or 0 for rows that a model gives away with that label, else -1."""
+    out = np.full(len(z), -1)
+    for label, (step, share) in zip((1, 0), cuts, strict=True):
+        own = _steps(z if label else -z)
+        out[((z > 0) if label else (z < 0)) & ((own > step) | ((own == step) & (chance < share)))] = label
+    return out
+
+
+def _unlabelled(batches: Iterator[pa.RecordBatch], known: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        h = batch.column("id_hash").fill_null(0).to_numpy(zero_copy_only=False)
+        at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
+        same = known[at] == h if len(known) else np.zeros(len(h), bool)
+        yield from batch_slices([batch.filter(pa.array(~(same & batch.column("id_hash").is_valid().to_numpy(zero_copy_only=False))))], "text")
+
+
+def _given(part: pa.RecordBatch, rounds: list, after: list | None = None) -> tuple[list[np.ndarray], np.ndarray, list[np.ndarray]]:
+    """([verdicts of either model in the round that took the row], still left, log-odds of the models `after`)."""
+    models = [r[0] for r in rounds] + ([after] if after else [])
+    z = _sureness(part, models)
+    chance = (part.column("row_hash").to_numpy() & 0xFFFFF) / float(1 << 20)
+    left, found = np.ones(part.num_rows, bool), [np.full(part.num_rows, -1) for _ in (0, 1)]
+    for (_, cuts), own in zip(rounds, z[: len(rounds)], strict=True):
+        said = [np.where(left, _verdicts(own[k], chance, cuts[k]), -1) for k in (0, 1)]
+        for k in (0, 1):
+            found[k] = np.where(said[k] >= 0, said[k], found[k])
+        left &= (said[0] < 0) & (said[1] < 0)
+    return found, left, z[-1] if after else []
+
+
+def _histogram(known_b, state_b):
+    """view, step, count of the unlabelled rows that no round has taken."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (rounds, models), width = state_b.value, LIMIT * STEPS
+        counts = np.zeros((4, 2 * width + 1), np.int64)
+        for part in _unlabelled(batches, known_b.value):
+            _, left, z = _given(part, rounds, models)
+            for k in (0, 1):
+                for label, signed in ((0, -z[k]), (1, z[k])):
+                    counts[2 * k + label] += np.bincount(_steps(signed[left]) + width, minlength=2 * width + 1)
+        kind, step = np.nonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(step - width), pa.array(counts[kind, step])], names=["kind", "step", "n"])
+
+    return run
+
+
+def _gifts(known_b, state_b):
+    """view, block, row_hash, label, features: what each view learns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rounds, blocks = state_b.value
+        for part in _unlabelled(batches, known_b.value):
+            found, _, _ = _given(part, rounds)
+            for k in (0, 1):
+                at = np.flatnonzero(found[1 - k] >= 0)
+                if not len(at):
+                    continue
+                rows = part.take(pa.array(at))
+                h = rows.column("row_hash").to_numpy()
+                features = content_view(rows.column("text")) if k == 0 else metadata(rows.column("text"), rows.column("lang").to_pylist(), rows.column("source").to_pylist()).astype(np.float32)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(at), k)), pa.array((h >> 20) % blocks[k]), rows.column("row_hash"), pa.array(found[1 - k][at]), pa.array([x.tobytes() for x in features], pa.binary())],
+                    names=["view", "block", "row_hash", "label", "features"],
+                )
+
+    return run
+
+
+def _fit_block(labelled_b, blocks: list[int]):
+    """view, rows, weights of one block of gifts with all labelled rows."""
+
+    def run(table: pa.Table) -> pa.Table:
+        views, y = labelled_b.value
+        k = table.column("view")[0].as_py()
+        table = table.sort_by([("row_hash", "ascending"), ("label", "ascending")])
+        own = np.frombuffer(b"".join(table.column("features").to_pylist()), np.float32 if k else np.float16).reshape(len(table), -1).astype(views[k].dtype if k else np.float32)
+        x = np.concatenate([views[k].astype(own.dtype), own])
+        weight = np.concatenate([np.full(len(y), 1 / blocks[k]), np.ones(len(table))])
+        w = fit_logistic(x, np.concatenate([y, table.column("label").to_numpy()]), RIDGE, weight=weight)
+        return pa.table({"view": pa.array([k]), "rows": pa.array([len(table)]), "weights": pa.array([w.astype(float).tolist()])})
+
+    return run
+
+
+def id_hash() -> Column:
+    return F.xxhash64(F.col("doc_id").cast("string"))
+
+
+def co_train_all(docs: DataFrame, known: np.ndarray, views: list[np.ndarray], y: np.ndarray, rounds: int = ROUNDS) -> list[np.ndarray]:
+    """Weights of both views; every document whose id's hash isn't `known` (ascending) can be given."""
+    sc = docs.sparkSession.sparkContext
+    share = float(y.mean()) if len(y) else 0.5
+    models = [fit_logistic(v, y.astype(float), RIDGE) for v in views]
+    if share in (0.0, 1.0) or not len(y):
+        return models
+    hashed = docs.select(F.xxhash64("doc_id", "text", "lang", "source").alias("row_hash"), F.when(F.col("doc_id").isNotNull(), id_hash()).alias("id_hash"), "text", "lang", "source")
+    known_b, labelled_b = sc.broadcast(known), sc.broadcast(([views[0].astype(np.float16), views[1]], y))
+    past: list = []
+    wanted: tuple[int, int] | None = None
+    total = [0, 0]  # what each view was given
+    for _ in range(rounds):
+        # At most 4 * (2 * LIMIT * STEPS + 1) rows.
+        found = hashed.mapInArrow(_histogram(known_b, sc.broadcast((past, models))), "kind long, step long, n long").groupBy("kind", "step").agg(F.sum("n").alias("n")).toPandas().sort_values("step")
+        if not len(found):
+            break
+        if wanted is None:
+            given = found["n"][found["kind"] == 0].sum() * GIVEN / POOL
+            wanted = max(1, round(given * share)), max(1, round(given * (1 - share)))
+        pick = lambda k, label: found[(found["kind"] == 2 * k + label) & (found["step"] >= 0)]
+        cuts = [tuple(cut(*(pick(k, label)[c].to_numpy() for c in ("step", "n")), n) for label, n in ((1, wanted[0]), (0, wanted[1]))) for k in (0, 1)]
+        past = [*past, (models, cuts)]
+        for k in (0, 1):
+            total[1 - k] += sum(min(n, int(pick(k, label)["n"].sum())) for label, n in ((1, wanted[0]), (0, wanted[1])))
+        blocks = [max(1, round(n / POOL)) for n in total]
+        gifts = hashed.mapInArrow(_gifts(known_b, sc.broadcast((past, blocks))), "view long, block long, row_hash long, label long, features binary")
+        fitted = gifts.groupBy("view", "block").applyInArrow(_fit_block(labelled_b, blocks), "view long, rows long, weights array<double>").toPandas()
+        models = list(models)
+        for k in (0, 1):
+            own = fitted[fitted["view"] == k].sort_values("rows")
+            if len(own):
+                models[k] = np.average(np.stack(own["weights"].to_list()), axis=0, weights=own["rows"]).astype(models[k].dtype)
+    return models
+
+
 def _scores(weights_b):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (content_w, meta_w), ((a0, b0), (a1, b1)) = weights_b.value
@@ -174,21 +333,22 @@ def score_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
     known = labels.select("doc_id", F.col(label).cast("int").alias("label")).filter(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull()).withColumn("fold", fold)
     order = F.xxhash64("doc_id", F.lit(4))
     taught = known.filter("fold <> 0").orderBy(order, "doc_id", "label").limit(LABELLED)
-    pool = base.select("doc_id").join(known.select("doc_id"), "doc_id", "left_anti").orderBy(order, "doc_id").limit(POOL)
-    chosen = ws.table(taught.unionByName(pool.select("doc_id", F.lit(None).cast("int").alias("label"), F.lit(-1).cast("long").alias("fold"))), "chosen")
-    # LABELLED + POOL rows at most.
+    chosen = ws.table(taught, "chosen")
+    # 8 bytes a labelled id: without them, every round would shuffle all texts.
+    ids = np.sort(known.select(id_hash().alias("h")).distinct().toArrow().column("h").to_numpy())
+    # LABELLED ids at most.
     sample = base.join(F.broadcast(chosen), "doc_id").select("text", "lang", "source", "label", "fold").mapInArrow(_features, "label int, fold long, content binary, meta binary")
     got = sample.limit(2 * (LABELLED + POOL)).toPandas()
     views = [
         np.frombuffer(b"".join(got["content"]), np.float16).reshape(-1, WIDTH).astype(np.float32),
         np.frombuffer(b"".join(got["meta"]), np.float32).reshape(-1, META).astype(np.float64),
     ]
-    y = got["label"].fillna(-1).to_numpy(int)
-    teach, tune, free = (y >= 0) & (got["fold"].to_numpy(int) != CALIBRATION_FOLD), (y >= 0) & (got["fold"].to_numpy(int) == CALIBRATION_FOLD), y < 0
+    y = got["label"].to_numpy(int)
+    teach, tune = got["fold"].to_numpy(int) != CALIBRATION_FOLD, got["fold"].to_numpy(int) == CALIBRATION_FOLD
     # In a fixed order, so that reruns agree.
     by = np.lexsort([got["content"].map(zlib.crc32).to_numpy(), got["meta"].map(zlib.crc32).to_numpy()])
-    views, y, teach, tune, free = [v[by] for v in views], y[by], teach[by], tune[by], free[by]
-    weights = co_train([v[teach] for v in views], y[teach], [v[free] for v in views])
+    views, y, teach, tune = [v[by] for v in views], y[by], teach[by], tune[by]
+    weights = co_train_all(base, ids, [v[teach] for v in views], y[teach])
     curves = []
     for k in (0, 1):
         z = odds(views[k][tune], weights[k])
