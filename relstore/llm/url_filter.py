@@ -9,7 +9,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,7 +31,7 @@ RULES = (
 SUPPORT, CONFIDENCE = 0.01, 0.8
 #: Tokens that a mined rule may have.
 TOKENS = 3
-#: Tokens of a URL that FP-growth sees, in their order: the combinations of one URL stay fewer than 2**15.
+#: FP-growth finds combinations of any size: where a URL has more frequent tokens than this, those of up to TOKENS are counted instead.
 MINED_TOKENS = 14
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -78,17 +80,26 @@ def tokens_of(url: Column, host: Column, path: Column) -> Column:
 def mine_rules(labelled: DataFrame, ws: Workspace, tokens: str = "tokens", label: str = "label", support: float = SUPPORT, confidence: float = CONFIDENCE, most: int = TOKENS) -> DataFrame:
     """tokens, key, label, confidence, support. An empty table of labels gives no rules.
 
-    However many rows there are, a URL with k tokens adds to less than k**4 combinations, and each kept one needs `support`
-    of the rows: there are fewer than k**4 / support rules.
+    Whole token sets are mined, but for tokens below the support, which no rule can have. However many rows there are, a URL
+    with k frequent tokens adds to less than k**4 combinations, and each kept one needs `support` of the rows: there are fewer
+    than k**4 / support rules.
     """
     spark = labelled.sparkSession
     schema = "tokens array<string>, key string, label string, confidence double, support double"
-    baskets = ws.table(labelled.select(F.array_union(F.slice(tokens, 1, MINED_TOKENS), F.array(F.concat(F.lit("label:"), F.col(label)))).alias("items")), "baskets")
-    if baskets.isEmpty():
+    whole = ws.table(labelled.select(F.array_union(tokens, F.array(F.concat(F.lit("label:"), F.col(label)))).alias("items")), "whole")
+    rows = whole.count()
+    if not rows:
         return spark.createDataFrame([], schema)
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
-    rules = model.associationRules
+    least = math.ceil(support * rows)
+    # Fewer than (tokens a URL) / support of them, whatever the input.
+    frequent = sorted(r[0] for r in whole.select(F.explode("items").alias("token")).groupBy("token").count().filter(F.col("count") >= least).collect())
+    held = F.array(*map(F.lit, frequent)).cast("array<string>")
+    baskets = ws.table(whole.select(F.array_sort(F.array_intersect("items", held)).alias("items")), "baskets")
     verdict = F.element_at("consequent", 1)
+    if baskets.agg(F.max(F.size("items"))).first()[0] <= MINED_TOKENS + 1:
+        rules = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets).associationRules
+    else:
+        rules = _counted_rules(baskets, rows, least, confidence, most)
     found = rules.filter(verdict.startswith("label:") & (F.size("antecedent") <= most) & (F.col("lift") > 1.0))
     found = ws.table(
         found.select(F.array_sort("antecedent").alias("tokens"), F.substring(verdict, 7, 1000).alias("label"), "confidence", "support"),
@@ -106,6 +117,25 @@ def mine_rules(labelled: DataFrame, ws: Workspace, tokens: str = "tokens", label
     return ws.table(kept.join(keys, ["tokens", "label"]).select("tokens", "key", "label", "confidence", "support"), "index")
 
 
+def _counted_rules(baskets: DataFrame, rows: int, least: int, confidence: float, most: int) -> DataFrame:
+    """The rules for labels that FP-growth finds, with up to `most` tokens, by counting the combinations of distinct baskets."""
+    is_label = lambda x: x.startswith("label:")
+    sets = baskets.groupBy("items").agg(F.count(F.lit(1)).alias("n"))
+    sets = sets.select("n", F.filter("items", is_label).getItem(0).alias("label"), F.filter("items", lambda x: ~is_label(x)).alias("rest"))
+    level, levels = sets.withColumn("antecedent", F.array().cast("array<string>")), []
+    for _ in range(most):
+        level = level.select("n", "label", "rest", "antecedent", F.posexplode("rest").alias("i", "token"))
+        level = level.select("n", "label", F.slice("rest", F.col("i") + 2, F.size("rest")).alias("rest"), F.array_append("antecedent", F.col("token")).alias("antecedent"))
+        levels.append(level.select("antecedent", "label", "n"))
+    both = reduce(DataFrame.unionAll, levels).groupBy("antecedent", "label").agg(F.sum("n").alias("n"))
+    per = both.groupBy("antecedent").agg(F.sum("n").alias("of")).filter(F.col("of") >= least)
+    shares = sets.filter("label is not null").groupBy("label").agg((F.sum("n") / rows).alias("share"))
+    # One row a label.
+    joined = both.filter(F.col("label").isNotNull() & (F.col("n") >= least)).join(per, "antecedent").join(F.broadcast(shares), "label")
+    sure = F.col("n") / F.col("of")
+    return joined.filter(sure >= confidence).select("antecedent", F.array("label").alias("consequent"), sure.alias("confidence"), (sure / F.col("share")).alias("lift"), (F.col("n") / rows).alias("support"))
+
+
 def _subsets(tokens: Column, most: int) -> Column:
     """Proper, non-empty subsets of up to `most` tokens, each in order."""
     masks = F.sequence(F.lit(1), (F.pow(F.lit(2), F.size(tokens)) - 2).cast("int"))
