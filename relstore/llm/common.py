@@ -22,10 +22,12 @@ SLICE_BYTES = 1 << 20
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where the session names none (tests, local mode) is a temporary one made and set.
+    Only where a local session names none (tests) is a temporary one made and set; on a cluster a machine's own folder is no shared one.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="relstore-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -38,6 +40,7 @@ class Workspace:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self._count = 0
+        self._tables: set[str] = set()
 
     def path(self, name: str) -> str:
         self._count += 1
@@ -49,11 +52,21 @@ class Workspace:
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._relstore_path = path
+        self._tables.add(path)
+        return out
+
+    def result(self, df: DataFrame) -> DataFrame:
+        """Write the call's result and drop all else that it wrote."""
+        out = self.table(df, "result")
+        for path in self._tables - {out._relstore_path}:
+            remove(self.spark, path)
+        self._tables = {out._relstore_path}
         return out
 
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
             remove(self.spark, t._relstore_path)
+            self._tables.discard(t._relstore_path)
 
     def close(self) -> None:
         remove(self.spark, self.root)
