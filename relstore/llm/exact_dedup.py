@@ -1,32 +1,32 @@
 """Exact dedup by an extendible-hash index on shared files (DataFrame functions only).
 
-1. Every text is normalised; its key is a 64-bit hash. Grouping by (key, text) compares the bytes
-   of texts that meet under a key: equal ones collapse into one entry - in each task before
-   anything is shuffled, so that a group with a third of all rows crosses the network as one entry a
-   task - and different ones with the same key become separate entries of its chain.
-2. The directory says how many leading bits of a key name its bucket. It starts at depth 0 and
-   doubles while a bucket holds more entries than its capacity, up to `max_depth`. It is built from the
-   entry counts of the 2**max_depth finest slots, so that it has a fixed size whatever the input is.
-3. Owner tasks take ranges of (bucket, key), order and number each key's chain and write
-   their buckets as sorted files to the shared folder; that is the index.
-4. Rows look up their entry by bucket, key and digest.
+1. Every text is normalised; its key is a 64-bit hash. The keys alone - no texts - are counted first.
+2. The directory says how many leading bits of a key name its bucket. It begins as one bucket and doubles while a bucket holds more
+   keys than its capacity; a bucket that needs fewer bits than the directory's depth stands in several of its slots. Depth
+   follows from the data: keys are distinct, so that each bucket fits in the end. Capacity grows with the number of keys beyond
+   CAPACITY * BUCKETS, so that the directory has a bounded size whatever the input is.
+3. Texts move once, to the owner of their bucket; a bucket is a range of keys. A key with many rows is dealt to several owners, whose
+   entries meet again as one entry an owner. Owners compare the bytes of the texts under a key: equal ones are one entry, different
+   ones are entries of the key's chain. Entries, by bucket, key and number in the chain, are written as sorted files to the
+   shared folder; that is the index.
+4. Rows find their bucket by the directory and, in it, their entry by key and digest.
 
 Copies are never listed in one place: an entry holds its smallest id and a count.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import SPACE_CLASS, Workspace
 
-#: Leading bits of a key that the finest directory slot may use.
-MAX_DEPTH = 12
-#: Entries that a bucket holds before it is split.
-CAPACITY = 50_000
-#: Owner tasks, each with a range of buckets, per slot of parallelism.
-_SIGN = 1 << 63
+#: Keys that a bucket holds before it is split, and buckets from which on it holds more.
+CAPACITY, BUCKETS = 1000, 4096
+#: A key with more than this share of all rows, and more than HOT rows, is dealt to an owner for each such share.
+HOT, HOT_SHARE = 1000, 1 / 1024
 
 
 def normalised(text: Column) -> Column:
@@ -43,64 +43,83 @@ def _slot(key: Column, depth: int) -> Column:
     return F.shiftrightunsigned(key, 64 - depth) if depth else F.lit(0).cast("long")
 
 
-def keyed(docs: DataFrame, text: str) -> DataFrame:
-    norm = docs.withColumn("__norm", normalised(F.col(text)))
-    return norm.withColumn("__key", F.xxhash64("__norm")).withColumn("__sha", F.sha2(F.col("__norm").cast("binary"), 256))
+def with_key(docs: DataFrame, text: str) -> DataFrame:
+    return docs.withColumn("__norm", normalised(F.col(text))).withColumn("__key", F.xxhash64("__norm"))
 
 
-def directory(slot_counts: dict[int, int], capacity: int, max_depth: int) -> list[tuple[int, int, int]]:
-    """Buckets as (first slot, slots, local depth), in the order of keys.
+def split(counts: dict[int, int], depth: int, capacity: int) -> list[tuple[int, int, int]] | None:
+    """Buckets as (first slot, slots, local depth), in the order of keys, from the keys of the 2**depth slots that have any.
 
-    slot_counts has the entries of the 2**max_depth finest slots. A bucket that is overfull is split
-    by one more bit, which doubles the directory where it was as deep as that already.
+    A bucket that is overfull is split by one more bit. None: a slot by itself is overfull, so that the directory must be deeper.
     """
-    n = 1 << max_depth
-    before = [0] * (n + 1)
-    for i in range(n):
-        before[i + 1] = before[i] + slot_counts.get(i, 0)
+    if max(counts.values(), default=0) > capacity:
+        return None
+    below = sorted(counts)
+    before = [0]
+    for i in below:
+        before.append(before[-1] + counts[i])
+
+    def held(first: int, span: int) -> int:
+        return before[bisect_left(below, first + span)] - before[bisect_left(below, first)]
+
     out, todo = [], [(0, 0)]
     while todo:
-        first, depth = todo.pop()
-        span = n >> depth
-        if before[first + span] - before[first] > capacity and depth < max_depth:
-            todo += [(first + span // 2, depth + 1), (first, depth + 1)]
+        first, local = todo.pop()
+        span = 1 << (depth - local)
+        if held(first, span) > capacity:
+            todo += [(first + span // 2, local + 1), (first, local + 1)]
         else:
-            out.append((first, span, depth))
+            out.append((first, span, local))
     return out
 
 
-def build_index(
-    docs: DataFrame, ws: Workspace, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, max_depth: int = MAX_DEPTH
-) -> tuple[DataFrame, DataFrame]:
-    """(entries, directory). entries: bucket, key, chain (number within the key), sha, keep_id, group_size."""
-    spark = docs.sparkSession
-    grouped = (
-        keyed(docs.select(doc_id, text), text)
-        .groupBy("__key", "__sha", "__norm")
-        .agg(F.min(doc_id).alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+def build_directory(keys: DataFrame, capacity: int = CAPACITY, most: int = BUCKETS) -> tuple[DataFrame, int]:
+    """(directory, depth). directory: slot, bucket, local_depth. keys: distinct __key."""
+    spark, total = keys.sparkSession, keys.count()
+    capacity = max(capacity, -(-total // most))
+    # Hashes are spread evenly: a few bits more than the mean needs are enough as a rule; slots grow as total / capacity does.
+    depth, found = max(0, (total // capacity).bit_length() + 1), None
+    while found is None:
+        counts = {r[0]: r[1] for r in keys.groupBy(_slot(F.col("__key"), depth).alias("slot")).count().collect()}
+        found = split(counts, depth, capacity)
+        depth += found is None
+    slots = [(first + i, b, local) for b, (first, span, local) in enumerate(found) for i in range(span)]
+    return spark.createDataFrame(slots, "slot long, bucket int, local_depth int"), depth
+
+
+def build_index(docs: DataFrame, ws: Workspace, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> tuple[DataFrame, DataFrame, int]:
+    """(entries, directory, depth). entries: bucket, key, chain (number within the key), sha, keep_id, group_size."""
+    rows = with_key(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")), "text")
+    keys = ws.table(rows.groupBy("__key").agg(F.count(F.lit(1)).alias("n")), "keys")
+    directory, depth = build_directory(keys.select("__key"), capacity)
+    parts = int(ws.spark.conf.get("spark.sql.shuffle.partitions"))
+    share = max(HOT, int((keys.agg(F.sum("n")).first()[0] or 0) * HOT_SHARE))
+    # At most 1 / HOT_SHARE keys.
+    hot = keys.filter(F.col("n") > share).select(F.col("__key"), F.ceil(F.col("n") / share).cast("int").alias("owners"))
+    placed = (
+        rows.withColumn("slot", _slot(F.col("__key"), depth))
+        .join(F.broadcast(directory), "slot")  # its size is bounded by BUCKETS
+        .join(F.broadcast(hot), "__key", "left")
+        .withColumn("owner", F.coalesce(F.pmod(F.xxhash64("id", F.lit(1)), F.col("owners")), F.lit(0)))
+        .select("bucket", "owner", "id", "__key", "__norm")
     )
-    entries = ws.table(grouped.drop("__norm"), "entries")
-    counts = entries.groupBy(_slot(F.col("__key"), max_depth).alias("slot")).count()
-    # At most 2**max_depth rows, whatever the input.
-    buckets = directory({r[0]: r[1] for r in counts.collect()}, capacity, max_depth)
-    slots = [(first + i, b, depth) for b, (first, span, depth) in enumerate(buckets) for i in range(span)]
-    table = spark.createDataFrame(slots, "slot long, bucket int, local_depth int")
-    owners = max(1, min(len(buckets), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    # Grouping by the text compares bytes, inside the tasks that own the buckets.
+    owned = placed.repartition(parts, "bucket", "owner").groupBy("bucket", "owner", "__key", "__norm").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    entries = ws.table(owned.select("bucket", "__key", F.sha2(F.col("__norm").cast("binary"), 256).alias("sha"), "keep_id", "group_size"), "entries")
     chain = Window.partitionBy("bucket", "key").orderBy("keep_id", "sha")
-    placed = (
-        entries.withColumn("slot", _slot(F.col("__key"), max_depth))
-        .join(F.broadcast(table), "slot")  # 2**max_depth rows at most
-        .select("bucket", F.col("__key").alias("key"), F.col("__sha").alias("sha"), "keep_id", "group_size")
-        .repartitionByRange(owners, "bucket", "key")
+    whole = (
+        entries.groupBy("bucket", F.col("__key").alias("key"), "sha")
+        .agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+        .repartition(parts, "bucket")
         .withColumn("chain", F.row_number().over(chain))
         .sortWithinPartitions("bucket", "key", "chain")
     )
-    index = ws.table(placed, "buckets")
-    ws.drop(entries)
-    return index, table
+    index = ws.table(whole, "buckets")
+    ws.drop(keys, entries)
+    return index, directory, depth
 
 
-def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> DataFrame:
+def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """All rows with keep_id, group_size, kept and text_sha256 beside their own columns.
 
     Texts are equal if they are identical after each run of whitespace is one space. Null is empty text,
@@ -110,16 +129,18 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", cap
     names of results are replaced. An empty table gives an empty result.
     """
     ws = Workspace(docs.sparkSession, "exact-dedup")
-    index, _ = build_index(docs, ws, doc_id, text, capacity, max_depth)
-    lookup = index.select(F.col("key").alias("__key"), F.col("sha").alias("__sha"), F.col("keep_id").alias("__keep"), F.col("group_size").alias("__size"))
-    rows = keyed(docs.drop(*({"keep_id", "group_size", "kept", "text_sha256"} - {doc_id, text})), text).drop("__norm")
+    index, directory, depth = build_index(docs, ws, doc_id, text, capacity)
+    entry = index.select("bucket", "key", "sha", "keep_id", "group_size").toDF("__bucket", "__key", "__sha", "__keep", "__size")
+    rows = with_key(docs.drop(*({"keep_id", "group_size", "kept", "text_sha256"} - {doc_id, text})), text)
+    rows = rows.withColumn("__sha", F.sha2(F.col("__norm").cast("binary"), 256)).withColumn("__slot", _slot(F.col("__key"), depth)).drop("__norm")
+    bucket = directory.select(F.col("slot").alias("__slot"), F.col("bucket").alias("__bucket"))
+    found = rows.join(F.broadcast(bucket), "__slot").join(entry.hint("merge"), ["__bucket", "__key", "__sha"])
     return (
-        rows.join(lookup.hint("merge"), ["__key", "__sha"])
-        .withColumn("keep_id", F.col("__keep"))
+        found.withColumn("keep_id", F.col("__keep"))
         .withColumn("group_size", F.col("__size"))
         .withColumn("kept", F.col(doc_id).eqNullSafe(F.col("__keep")))
         .withColumn("text_sha256", F.col("__sha"))
-        .drop("__key", "__sha", "__keep", "__size")
+        .drop("__slot", "__bucket", "__key", "__sha", "__keep", "__size")
     )
 
 
