@@ -107,11 +107,17 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, limit: int = KNAPS
     return take
 
 
-def mix_plan(docs: DataFrame, source: str, text: str, doc_id: str, weights: Iterable[float], total: float, cap: float, seed: int, ws: Workspace) -> DataFrame:
-    """Rows doc_id, source, size, __source_size, __target, __copies."""
-    spark, weights = docs.sparkSession, list(weights)
-    rows = ws.table(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size")), "sizes")
-    rows = rows.withColumn("rank_hash", F.xxhash64("doc_id", F.lit(seed))).withColumn("bucket", F.pmod(F.shiftright("rank_hash", 20), F.lit(BUCKETS)).cast("int"))
+def _ranked(docs: DataFrame, source: str, text: str, doc_id: str, seed: int) -> DataFrame:
+    """docs with __source (never null), __size, __rank and __bucket. Rows without an id, or with the same, differ by their texts."""
+    key = F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("n"))
+    rows = docs.withColumn("__source", key).withColumn("__size", word_count(F.col(text))).withColumn("__rank", F.xxhash64(F.col(doc_id), F.xxhash64(text), F.lit(seed)))
+    return rows.withColumn("__bucket", F.pmod(F.shiftright("__rank", 20), F.lit(BUCKETS)).cast("int"))
+
+
+def mix_plan(rows: DataFrame, weights: Iterable[float], total: float, cap: float, ws: Workspace) -> DataFrame:
+    """From ranked rows: __source, __size, __bucket, first, base, take, __source_size, __target."""
+    spark, weights = rows.sparkSession, list(weights)
+    rows = rows.select(F.when(F.col("__source") != "n", F.substring("__source", 2, 1 << 30)).alias("source"), F.col("__size").alias("size"), F.col("__bucket").alias("bucket"))
     cells = ws.table(rows.groupBy("source", "size", "bucket").agg(F.count(F.lit(1)).alias("n")), "cells")
     histogram = cells.groupBy("source", "size").agg(F.sum("n").alias("n"))
     by_source = histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("words")).toPandas()  # a row per source
@@ -139,12 +145,16 @@ def mix_plan(docs: DataFrame, source: str, text: str, doc_id: str, weights: Iter
     f = fits.select(F.col("source").alias("f_source"), F.col("size").alias("f_size"), "base", "take")
     chosen = cells.withColumn("first", first).join(f, F.col("source").eqNullSafe(F.col("f_source")) & (F.col("size") == F.col("f_size"))).select("source", "size", "bucket", "n", "first", "base", "take")
     chosen = ws.table(chosen.join(goals.select(F.col("source").alias("g_source"), "words", "target"), F.col("source").eqNullSafe(F.col("g_source"))).drop("g_source"), "chosen")
-    c = chosen.select(*(F.col(x).alias(f"c_{x}") for x in ("source", "size", "bucket")), "first", "base", "take", F.col("words").alias("__source_size"), F.col("target").alias("__target"))
-    order = Window.partitionBy("source", "size", "bucket").orderBy("rank_hash", "doc_id")
-    ranked = rows.withColumn("place", F.row_number().over(order))
-    joined = ranked.join(c, F.col("source").eqNullSafe(F.col("c_source")) & (F.col("size") == F.col("c_size")) & (F.col("bucket") == F.col("c_bucket")))
-    copies = F.col("base") + (F.col("first") + F.col("place") <= F.col("take")).cast("long")
-    return joined.select("doc_id", "source", "size", "__source_size", "__target", copies.alias("__copies"))
+    key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
+    return chosen.select(key.alias("__source"), F.col("size").alias("__size"), F.col("bucket").alias("__bucket"), "first", "base", "take", F.col("words").alias("__source_size"), F.col("target").alias("__target"))
+
+
+def _with_copies(rows: DataFrame, plan: DataFrame, doc_id: str) -> DataFrame:
+    """Ranked rows with __copies: how often each row is taken. Rows move once, as window and join have the same keys."""
+    cell = ["__source", "__size", "__bucket"]
+    ranked = rows.withColumn("__place", F.row_number().over(Window.partitionBy(*cell).orderBy("__rank", doc_id)))
+    copies = F.col("base") + (F.col("first") + F.col("__place") <= F.col("take")).cast("long")
+    return ranked.join(plan.hint("merge"), cell).withColumn("__copies", copies)
 
 
 def mix_sources(
@@ -154,29 +164,36 @@ def mix_sources(
 
     taken = copies * size. Null texts have size 0. Sources are ordered by code point, null last and a source like any
     other. A source without words has target 0. Documents of size 0 come along with every whole copy of their source.
-    Repeated rows are documents of their own; equal rows can't be told apart, so any of them are chosen. Null ids
-    are ranked together. Other columns are ignored. An empty table gives an empty result.
+    Repeated rows are documents of their own; equal rows can't be told apart, so any of them are chosen. Rows without an
+    id are ranked by their texts. Other columns are ignored. An empty table gives an empty result.
     """
     ws = Workspace(docs.sparkSession, "mixing")
-    plan = mix_plan(docs, source, text, doc_id, weights, total, cap, seed, ws)
-    return plan.select(
+    narrow = _ranked(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text")), "source", "text", "doc_id", seed).drop("text")
+    rows = ws.table(narrow, "sizes")
+    taken = _with_copies(rows, mix_plan(rows, weights, total, cap, ws), "doc_id")
+    return taken.select(
         F.col("doc_id").alias(doc_id),
         F.col("source").alias(source),
-        "size",
+        F.col("__size").alias("size"),
         F.col("__source_size").alias("source_size"),
         F.col("__target").alias("target"),
-        (F.col("__copies") * F.col("size")).alias("taken"),
+        (F.col("__copies") * F.col("__size")).alias("taken"),
         F.col("__copies").alias("copies"),
     )
 
 
-def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """The documents of the mix, each as often as it is taken. Ids are taken to be unique."""
-    copies = mix_sources(docs, doc_id, source, text).select(F.col(doc_id).alias("id"), "copies").filter("copies > 0")
+def mixed_documents(
+    docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", weights: Iterable[float] = WEIGHTS, total: float = TOTAL, cap: float = CAP, seed: int = 7
+) -> DataFrame:
+    """The rows of the mix, each as often as it is taken: decided row by row, as in mix_sources, whatever the ids are."""
+    ws = Workspace(docs.sparkSession, "mixed-documents")
+    # Columns by place: their names may be those of results.
     own = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
-    joined = own.join(copies.hint("merge"), own[docs.columns.index(doc_id)].eqNullSafe(F.col("id")))
-    repeated = joined.withColumn("n", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return repeated.select(*own.columns).toDF(*docs.columns)
+    ids, sources, texts = (f"c{docs.columns.index(c)}" for c in (doc_id, source, text))
+    rows = _ranked(own, sources, texts, ids, seed)
+    plan = mix_plan(ws.table(rows.select("__source", "__size", "__bucket"), "sizes"), weights, total, cap, ws)
+    taken = _with_copies(rows, plan, ids).filter("__copies > 0")
+    return taken.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*own.columns).toDF(*docs.columns)
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 * Content: relative frequencies of byte trigrams of the text, in WIDTH slots by hash.
 * Metadata: language, source, length and the page's shape (lines, their lengths and repeats; shares of capitals, digits and signs).
+  It holds nothing of which words or letters stand in the text, and the content view nothing of length, layout, language or source,
+  so that given the label either says little about the other.
 
 Both are logistic models. They begin with the labelled rows. In each round, each model labels those of all unlabelled documents that
 it is surest of, as many of either label as their shares say, and gives them to the other model, which learns them too. At
@@ -322,13 +324,15 @@ def _scores(weights_b):
 def score_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
     """doc_id, held_out, score, predicted, content_score, metadata_score: one row per row of docs.
 
-    Labels of held-out ids are never read; null labels teach nothing. Null text is empty text; null language or source
-    is a value like others. Null ids are scored. Without labels of both kinds, scores are those of the one kind, or 0.5.
+    Labels of held-out ids are never read; null labels teach nothing; an id with both labels teaches both. Null text is empty text; null
+    language or source is a value like others, and a table without those columns has null there. Rows that repeat id and text
+    are taught once and scored each; equal rows have equal scores. Null ids are scored. Without labels of both kinds, scores are those of the one kind, or 0.5.
     Other columns are ignored. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     ws = Workspace(spark, "quality")
-    base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"))
+    given = lambda c: (F.col(c) if c in docs.columns else F.lit(None)).cast("string").alias(c)
+    base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), given("lang"), given("source"))
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
     known = labels.select("doc_id", F.col(label).cast("int").alias("label")).filter(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull()).withColumn("fold", fold)
     order = F.xxhash64("doc_id", F.lit(4))
@@ -336,9 +340,11 @@ def score_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
     chosen = ws.table(taught, "chosen")
     # 8 bytes a labelled id: without them, every round would shuffle all texts.
     ids = np.sort(known.select(id_hash().alias("h")).distinct().toArrow().column("h").to_numpy())
-    # LABELLED ids at most.
-    sample = base.join(F.broadcast(chosen), "doc_id").select("text", "lang", "source", "label", "fold").mapInArrow(_features, "label int, fold long, content binary, meta binary")
-    got = sample.limit(2 * (LABELLED + POOL)).toPandas()
+    # LABELLED labels at most; rows that repeat id, text and label count once, and of what ids with several texts give a fixed order takes as many.
+    row = ["doc_id", "label", F.xxhash64("text", "lang", "source").alias("h")]
+    sample = base.join(F.broadcast(chosen), "doc_id").select(*row, "text", "lang", "source", "fold").dropDuplicates(["doc_id", "label", "h"])
+    sample = sample.orderBy(order, "doc_id", "label", "h").limit(LABELLED).select("text", "lang", "source", "label", "fold")
+    got = sample.mapInArrow(_features, "label int, fold long, content binary, meta binary").toPandas()
     views = [
         np.frombuffer(b"".join(got["content"]), np.float16).reshape(-1, WIDTH).astype(np.float32),
         np.frombuffer(b"".join(got["meta"]), np.float32).reshape(-1, META).astype(np.float64),

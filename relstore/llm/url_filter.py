@@ -173,8 +173,10 @@ def judge(pages: DataFrame, url: str = "url", rules: Sequence[tuple[str, str, st
     looked = sets.select("__tokens", F.explode("__tokens").alias("key")).join(index, "key").filter(F.size(F.array_except("tokens", "__tokens")) == 0)
     order = F.struct((-F.col("confidence")).alias("a"), (-F.col("support")).alias("b"), (-F.size("tokens")).alias("c"), F.col("tokens").alias("d"), F.col("label").alias("e"))
     best = looked.groupBy("__tokens").agg(F.min(order).alias("__best")).select(F.col("__tokens").alias("__set"), F.col("__best.d").alias("pattern"), F.col("__best.e").alias("__mined"))
-    joined = rows.join(best, F.when(F.col("__given").isNull(), F.col("__tokens")) == F.col("__set"), "left")
-    return joined.withColumn("verdict", F.coalesce("__given", "__mined", F.lit(default))).drop("__given", "__mined", "__tokens", "__set")
+    # Rows that a given rule decides need no lookup, and would all have the same empty key.
+    decided = rows.filter(F.col("__given").isNotNull()).withColumn("pattern", F.lit(None).cast("array<string>")).withColumn("verdict", F.col("__given"))
+    found = rows.filter(F.col("__given").isNull()).join(best.hint("merge"), F.col("__tokens") == F.col("__set"), "left").withColumn("verdict", F.coalesce("__mined", F.lit(default)))
+    return decided.unionByName(found.drop("__mined", "__set")).drop("__given", "__tokens")
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

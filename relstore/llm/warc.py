@@ -46,9 +46,11 @@ def with_roles(pages: DataFrame, page_id: str, html: str, least: int = REVISIT_B
     """Adds __payload, __bytes, __sha1 and __refers (the page that a revisit refers to, else null)."""
     payload = F.coalesce(F.col(html), F.lit(""))
     rows = pages.withColumn("__payload", payload).withColumn("__bytes", F.octet_length("__payload").cast("long")).withColumn("__sha1", F.sha1(F.col("__payload").cast("binary")))
+    # SHA-1 goes in the header; SHA-256 decides what is equal, as collisions of the former are public.
+    rows = rows.withColumn("__sha2", F.when(F.col("__bytes") >= least, F.sha2(F.col("__payload").cast("binary"), 256)).otherwise(F.col(page_id).cast("string")))
     # Copies meet as partial maxima, not as rows.
-    shared = rows.filter(F.col("__bytes") >= least).groupBy("__sha1", "__bytes").agg(F.max(page_id).alias("__head"), F.count(F.lit(1)).alias("__n")).filter("__n > 1").drop("__n")
-    joined = rows.join(shared, ["__sha1", "__bytes"], "left")
+    shared = rows.filter(F.col("__bytes") >= least).groupBy("__sha2", "__bytes").agg(F.max(page_id).alias("__head"), F.count(F.lit(1)).alias("__n")).filter("__n > 1").drop("__n")
+    joined = rows.join(shared, ["__sha2", "__bytes"], "left").drop("__sha2")
     return joined.withColumn("__refers", F.when(~F.col(page_id).eqNullSafe(F.col("__head")), F.col("__head"))).drop("__head")
 
 
