@@ -69,6 +69,8 @@ def new_engine(spark: SparkSession, **options) -> Engine:
         import uuid
 
         return Engine.open(f"{shared}/relstore-{uuid.uuid4().hex}", spark, **options)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     root = "/" + shared[5:].lstrip("/") if shared else None
     if root:
         import os
@@ -100,20 +102,43 @@ def _changed(table: str, statements: list[str], spark: SparkSession, sf_dir: str
     return e.table(table)
 
 
-def _script(statements: list[str], table: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Statements on an empty database; an error of one doesn't stop the others."""
-    e = new_engine(spark)
+def _tried(table: str, statements: list[str], spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table after statements of which some fail; an error of one doesn't stop the others."""
+    e = imported(spark, sf_dir, table)
     for sql in statements:
-        try:
-            e.execute(sql)
-        except RelError:
-            pass
+        _attempt(e, sql)
     return e.table(table)
 
 
-WIDE = " OR ".join(f"o_orderkey = {3 * n}" for n in range(500))
-_LEDGER = ["CREATE TABLE ledger (id UINT32 PRIMARY KEY, amount INT64 NOT NULL)", "INSERT INTO ledger VALUES (0, 0)"]
+def _two_steps(spark: SparkSession, sf_dir: str, table: str, changes: list[str], select: str) -> DataFrame:
+    e = imported(spark, sf_dir, table)
+    for sql in changes:
+        e.execute(sql)
+    return e.execute(select).df
+
 
+def _attempt(e: Engine, sql: str) -> str:
+    """The kind of error that a statement gives, or "none"."""
+    try:
+        e.execute(sql)
+        return "none"
+    except RelError as x:
+        return x.kind
+
+
+def _copied(create: str, target: str, insert: str, source: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A new table with one INSERT for each row of a small source table; insert is formatted with the row's cells as literals."""
+    e = imported(spark, sf_dir, source)
+    e.execute(create)
+    e.execute("BEGIN")
+    for row in e.execute(f"SELECT * FROM {source}").rows():
+        cells = ["NULL" if v is None else str(v).upper() if isinstance(v, bool) else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'" for v in row]
+        e.execute(insert.format(*cells))
+    e.execute("COMMIT")
+    return e.table(target)
+
+
+WIDE = " OR ".join(f"o_orderkey = {3 * n}" for n in range(500))
 
 def _select_entry(table: str, columns: str, where: str | None, oracle: str | None = None):
     """(query, SQL): a SELECT over an imported table and the same over its form in SQL."""
@@ -169,88 +194,156 @@ _STATS = [
     (10, "None", 0, 0, 0, 0),
 ]
 
+#: Statements over nation, 25 rows with keys 0 to 24, and the kind of error that each gives.
 _ERRORS = [
-    ("SELECT /* open", "Lexer"),
-    ("SELECT 'open", "Lexer"),
-    ("SELECT a ! b FROM n", "Lexer"),
-    ("SELECT id FROM numbers WHERE a = b = c", "Parser"),
-    ("SELECT id FROM numbers ORDER", "Parser"),
-    ("SELECT nope FROM numbers", "Semantic"),
-    ("SELECT id FROM missing", "Semantic"),
-    ("SELECT id FROM numbers WHERE note = 42", "Semantic"),
-    ("SELECT id FROM numbers WHERE id = value", "Semantic"),
-    ("SELECT id FROM numbers WHERE note", "Semantic"),
-    ("SELECT id FROM numbers WHERE note = 'abcd'", "Constraint"),
-    ("SELECT id FROM numbers WHERE id = -1", "Constraint"),
-    ("CREATE TABLE numbers (a INT64)", "Constraint"),
-    ("CREATE TABLE x (a INT64, A INT64)", "Semantic"),
-    ("CREATE TABLE x (a INT64 PRIMARY KEY)", "Semantic"),
-    ("CREATE TABLE x (a VARCHAR(0))", "Semantic"),
-    ("CREATE TABLE x (a VARCHAR(4294967296))", "Constraint"),
-    ("INSERT INTO numbers VALUES (1, 2)", "Semantic"),
-    ("INSERT INTO numbers VALUES (1, TRUE, NULL)", "Semantic"),
-    ("INSERT INTO numbers (id, id) VALUES (1, 2)", "Semantic"),
-    ("INSERT INTO numbers (id) VALUES (1)", "Constraint"),
-    ("INSERT INTO numbers VALUES (4294967296, 1, NULL)", "Constraint"),
-    ("INSERT INTO numbers VALUES (0, 1, NULL)", "Constraint"),
-    ("INSERT INTO numbers VALUES (3, NULL, NULL)", "Constraint"),
-    ("UPDATE numbers SET id = 1", "Constraint"),
-    ("UPDATE numbers SET value = 1, VALUE = 2", "Semantic"),
-    ("UPDATE numbers SET value = NULL WHERE FALSE", "Constraint"),
-    ("COMMIT", "Execution"),
+    ("DELETE FROM nation /* never closed", "Lexer"),
+    ("UPDATE nation SET n_name = 'never closed", "Lexer"),
+    ("SELECT n_name FROM nation WHERE n_regionkey !> 1", "Lexer"),
+    ("SELECT n_name FROM nation WHERE 0 < n_regionkey < 3", "Parser"),
+    ("SELECT n_name FROM nation WHERE n_regionkey IN (1)", "Parser"),
+    ("DELETE nation", "Parser"),
+    ("SELECT n_population FROM nation", "Semantic"),
+    ("SELECT n_name FROM planets", "Semantic"),
+    ("SELECT n_name FROM nation WHERE n_name > 4", "Semantic"),
+    ("SELECT n_name FROM nation WHERE n_nationkey <> n_regionkey", "Semantic"),
+    ("SELECT n_name FROM nation WHERE NOT n_regionkey", "Semantic"),
+    ("SELECT n_name FROM nation WHERE n_nationkey > -3", "Constraint"),
+    (f"SELECT n_nationkey FROM nation WHERE n_name < '{'N' * 65}'", "Constraint"),
+    ("CREATE TABLE nation (n_area INT64)", "Constraint"),
+    ("CREATE TABLE cities (c_name VARCHAR(9), C_NAME INT64)", "Semantic"),
+    ("CREATE TABLE cities (c_name VARCHAR(9) PRIMARY KEY)", "Semantic"),
+    ("CREATE TABLE cities (c_name VARCHAR(4001))", "Semantic"),
+    ("CREATE TABLE cities (c_name VARCHAR(99999999999))", "Constraint"),
+    ("INSERT INTO nation VALUES (30, 'N')", "Semantic"),
+    ("INSERT INTO nation VALUES (30, 4, 4)", "Semantic"),
+    ("INSERT INTO nation (n_nationkey, n_name, N_NAME) VALUES (30, 'N', 'N')", "Semantic"),
+    ("INSERT INTO nation (n_name) VALUES ('keyless')", "Constraint"),
+    ("INSERT INTO nation VALUES (24, 'taken', 1)", "Constraint"),
+    ("INSERT INTO nation VALUES (30, 'N', 9223372036854775808)", "Constraint"),
+    ("UPDATE nation SET n_nationkey = 77 WHERE n_regionkey = 2", "Constraint"),
+    ("UPDATE nation SET n_nationkey = 4 WHERE n_nationkey = 5", "Constraint"),
+    ("UPDATE nation SET n_regionkey = 4, N_REGIONKEY = 4", "Semantic"),
+    ("UPDATE nation SET n_nationkey = NULL WHERE n_nationkey > 1000", "Constraint"),
     ("ROLLBACK", "Execution"),
+    ("COMMIT", "Execution"),
 ]
 
 
 def _error_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = new_engine(spark)
-    e.execute("CREATE TABLE numbers (id UINT32 PRIMARY KEY, value INT64 NOT NULL, note VARCHAR(3))")
-    for n in (0, 9):
-        e.execute(f"INSERT INTO numbers VALUES ({n}, {n}, 'ab')")
-    rows = []
-    for n, (sql, _) in enumerate(_ERRORS):
+    e = imported(spark, sf_dir, "nation")
+    return spark.createDataFrame([(n, _attempt(e, sql)) for n, (sql, _) in enumerate(_ERRORS)], "n long, kind string")
+
+
+#: A foreign token in the named line and column of an otherwise valid statement.
+_PLACES = [("SELECT n_name\nFROM nation\n  WHERE ;", 3, 9), ("UPDATE nation SET\r\n n_name : 'x'", 2, 9), ("DELETE\tFROM 5", 1, 13), ("SELECT n_name FROM nation WHERE\n\n n_name = n_size", 3, 11)]
+
+
+def _error_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, rows = imported(spark, sf_dir, "nation"), []
+    for n, (sql, _, _) in enumerate(_PLACES):
         try:
             e.execute(sql)
-            rows.append((n, "none"))
         except RelError as x:
-            rows.append((n, x.kind))
-    return spark.createDataFrame(rows, "n long, kind string")
+            rows.append((n, x.span.begin.line, x.span.begin.column))
+    return spark.createDataFrame(rows, "n long, line long, place long")
 
 
-def _reopen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = new_engine(spark)
-    e.execute("CREATE TABLE t (id UINT32 PRIMARY KEY, value VARCHAR(40))")
-    e.execute("INSERT INTO t VALUES (1, 'kept')")
-    e.execute("BEGIN")
-    e.execute("INSERT INTO t VALUES (2, 'lost')")
-    e.close()
-    again = Engine.open(e.store.root, spark)
-    again.execute("INSERT INTO t VALUES (3, 'after')")
-    return again.table("t")
+def _nesting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each depth of parentheses around a condition, whether it is taken."""
+    e = imported(spark, sf_dir, "region")
+    depths = [1, 64, 127, 128, 129, 400]
+    return spark.createDataFrame([(d, _attempt(e, "SELECT * FROM region WHERE " + "(" * d + "r_regionkey = 1" + ")" * d) == "none") for d in depths], "depth long, taken boolean")
 
 
-def _errors_end_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _script(
-        [*_LEDGER, "BEGIN", "INSERT INTO ledger VALUES (1, 10)", "SELECT nope FROM ledger", "SELEC", "INSERT INTO ledger VALUES (1, 11)", "COMMIT", "INSERT INTO ledger VALUES (2, 20)"], "ledger", spark, sf_dir
-    )
+def _printed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A condition for each region, as the tree prints it."""
+    from .plans.parser import parse
+    from .plans.tree import debug
 
+    e = imported(spark, sf_dir, "region")
+    rows = [(k, debug(parse(f"SELECT * FROM region WHERE r_regionkey <> {k} AND NOT r_name = '{name}' OR FALSE").where)) for k, name in e.execute("SELECT * FROM region").rows()]
+    return spark.createDataFrame(rows, "r_regionkey long, form string")
 
-def _read_only(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _script([*_LEDGER, "BEGIN READ ONLY", "INSERT INTO ledger VALUES (1, 1)", "SELECT * FROM ledger", "COMMIT", "INSERT INTO ledger VALUES (2, 2)"], "ledger", spark, sf_dir)
 
+def _gate_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A writer waits for the open reader, and goes before the reader that comes after it."""
+    import threading
 
-def _ddl_rollback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = new_engine(spark)
-    for sql in [*_LEDGER, "BEGIN", "CREATE TABLE transient (id UINT32)", "ROLLBACK", "BEGIN", "CREATE TABLE durable (id UINT32)", "COMMIT"]:
+    from .gate import Gate
+
+    gate, order = Gate(), []
+    gate.read()
+    writer = threading.Thread(target=lambda: (gate.write(), order.append("writer"), gate.done_writing()))
+    writer.start()
+    while not gate._writers_waiting:
+        pass
+    later = threading.Thread(target=lambda: (gate.read(), order.append("later reader"), gate.done_reading()))
+    later.start()
+    order.append("first reader")
+    gate.done_reading()
+    writer.join()
+    later.join()
+    return spark.createDataFrame(list(enumerate(order)), "n long, who string")
+
+
+def _counted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = imported(spark, sf_dir, "region")
+    for scope in (["COMMIT"], ["ROLLBACK"], ["DELETE FROM region WHERE r_regionkey = 'x'"], ["DELETE FROM region WHERE r_regionkey = 1", "COMMIT"]):
+        for sql in ["BEGIN", *scope]:
+            _attempt(e, sql)
+    c = e.counters
+    return spark.createDataFrame([("begun", c.begun), ("committed", c.committed), ("rolled back", c.rolled_back), ("rolled back by errors", c.auto_rolled_back)], "what string, n long")
+
+
+def _compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Many small commits become few files by themselves, with the rows that were committed."""
+    e = new_engine(spark, compact_files=4)
+    e.create("nation", [c for _, c in TABLES["nation"]])
+    source = imported(spark, sf_dir, "nation").table("nation")
+    for k in range(5):
+        e.append("nation", source.filter(f"n_nationkey % 5 = {k}"))
+    if len(e.catalog.now.tables["nation"].files) >= 5:
+        raise AssertionError("the files were not compacted")
+    return e.table("nation")
+
+
+def _command_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import contextlib
+    import io
+
+    from .__main__ import run
+
+    e, out, err = imported(spark, sf_dir, "region"), io.StringIO(), io.StringIO()
+    with contextlib.redirect_stdout(out), contextlib.redirect_stderr(err):
+        codes = [run(e, sql, False) for sql in ("UPDATE region SET r_name = 'x' WHERE r_regionkey > 2", "DELETE region")]
+    lines = out.getvalue().splitlines() + [err.getvalue().partition(":")[0]] + [str(c) for c in codes]
+    return spark.createDataFrame(list(enumerate(lines)), "n long, line string")
+
+
+def _reopen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a closed database keeps: committed changes, not those of an open scope."""
+    e = imported(spark, sf_dir, "nation")
+    for sql in ("DELETE FROM nation WHERE n_regionkey = 0", "BEGIN", "DELETE FROM nation"):
         e.execute(sql)
+    e.close()
+    again = Engine.open(e.store.root, spark)
+    again.execute("UPDATE nation SET n_name = 'after' WHERE n_regionkey = 1")
+    return again.table("nation")
+
+
+def _ddl_rollback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = imported(spark, sf_dir, "nation")
+    for end in ("ROLLBACK", "COMMIT"):
+        for sql in ("BEGIN", f"CREATE TABLE made_before_{end} (a INT64)", end):
+            e.execute(sql)
     return spark.createDataFrame([(n,) for n in e.table_names()], "table_name string")
 
 
 def _own_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = new_engine(spark)
-    for sql in [*_LEDGER, "BEGIN", "INSERT INTO ledger VALUES (1, 10)", "UPDATE ledger SET amount = 7 WHERE id = 0"]:
+    e = imported(spark, sf_dir, "nation")
+    for sql in ("BEGIN", "INSERT INTO nation VALUES (100, 'new', NULL)", "UPDATE nation SET n_regionkey = 9 WHERE n_regionkey = 2", "DELETE FROM nation WHERE n_nationkey < 3"):
         e.execute(sql)
-    seen = e.execute("SELECT id, amount FROM ledger").df
+    seen = e.execute("SELECT * FROM nation").df
     e.execute("ROLLBACK")
     return seen
 
@@ -315,8 +408,10 @@ def _wire(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ORDERS_WHERE = "o_orderkey >= 100 AND (o_orderstatus = 'F' OR NOT o_custkey < 50)"
-_LEDGER_COLUMNS = (["id", "amount"], ["BIGINT", "BIGINT"])
+#: Changes of a scope, and what is left of nation if they are kept.
+_SCOPE = ["INSERT INTO nation VALUES (100, 'new', NULL)", "UPDATE nation SET n_regionkey = 9 WHERE n_regionkey = 2", "DELETE FROM nation WHERE n_nationkey < 3"]
 _PAIR = _SQL["nation"]
+_AFTER_SCOPE = f"SELECT n_nationkey, n_name, CASE WHEN n_regionkey = 2 THEN 9 ELSE n_regionkey END AS n_regionkey FROM ({_PAIR}) AS t WHERE n_nationkey >= 3 UNION ALL SELECT 100, 'new', NULL"
 
 ENTRIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "filter_orders": _select_entry("orders", "o_orderkey, o_orderstatus", _ORDERS_WHERE),
@@ -336,7 +431,11 @@ ENTRIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "ge": _select_entry("lineitem", "l_orderkey, l_linenumber", "3 <= l_linenumber AND l_linenumber >= 5"),
     "range_and": _select_entry("lineitem", "l_orderkey, l_partkey", "l_partkey >= 10 AND l_partkey < 60"),
     "column_to_column": _select_entry("lineitem", "l_orderkey, l_partkey", "l_orderkey < l_partkey"),
-    "str_order": _select_entry("part", "p_partkey, p_name", "p_name >= 'M' AND p_name < 'a'"),
+    "str_order": _select_entry("part", "p_partkey, p_name", "p_name > 'blue ' AND p_name <= 'red widget'"),
+    "str_order_bytes": (
+        lambda spark, d: _two_steps(spark, d, "nation", ["UPDATE nation SET n_name = 'Élan' WHERE n_regionkey = 1", "UPDATE nation SET n_name = 'zebra' WHERE n_regionkey = 2", "UPDATE nation SET n_name = 'Zoo' WHERE n_regionkey = 3"], "SELECT n_nationkey FROM nation WHERE n_name > 'a' AND NOT n_name <= 'zebra'"),
+        f"SELECT n_nationkey FROM ({_PAIR}) AS t WHERE n_regionkey = 1",
+    ),
     "and_or_not": _select_entry("orders", "o_orderkey", "o_orderstatus = 'O' OR o_orderstatus = 'P' AND NOT o_custkey > 100"),
     "not_precedence": _select_entry("orders", "o_orderkey", "NOT o_orderstatus = 'O' AND o_custkey < 500"),
     "parens": _select_entry("orders", "o_orderkey", "(o_orderstatus = 'O' OR o_orderstatus = 'P') AND ((o_custkey) < (500))"),
@@ -344,21 +443,25 @@ ENTRIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "bool_eq": _select_entry("labels", "doc_id, quality", "quality = FALSE AND toxic <> TRUE"),
     "bool_columns": _select_entry("labels", "doc_id", "quality = toxic"),
     "pred_eq_bool": _select_entry("labels", "doc_id", "(doc_id > 100) = quality"),
-    "null_eq": _select_entry("region", "r_regionkey", "r_name = NULL OR NULL = NULL", "FALSE"),
-    "null_where": _select_entry("region", "r_regionkey", "NULL", "FALSE"),
-    "not_null_eq": _select_entry("region", "r_regionkey", "NOT r_name = NULL", "FALSE"),
-    "null_or_true": _select_entry("region", "r_regionkey", "NULL OR r_regionkey > 1", "r_regionkey > 1"),
+    "null_eq": _select_entry("region", "r_regionkey", "r_name = NULL OR NULL = NULL"),
+    "null_where": _select_entry("region", "r_regionkey", "NULL"),
+    "not_null_eq": _select_entry("region", "r_regionkey", "NOT r_name = NULL"),
+    "null_or_true": _select_entry("region", "r_regionkey", "NULL OR r_regionkey > 1"),
     "bignum_literals": _select_entry("region", "r_regionkey", f"{'9' * 60} > {'8' * 60} AND -0 = 0 AND r_regionkey > 0", "r_regionkey > 0"),
     "wide_or_500": _select_entry("orders", "o_orderkey", WIDE, f"o_orderkey IN ({', '.join(str(3 * n) for n in range(500))})"),
     "wide_mixed": _select_entry("orders", "o_orderkey", " OR ".join(f"o_orderkey = {n} AND o_custkey > {n % 7}" for n in range(400))),
     "select_repeated": (lambda spark, d: imported(spark, d, "region").execute("SELECT r_name, R_NAME FROM region").df.toDF("a", "b"), "SELECT r_name AS a, r_name AS b FROM region"),
     "create_insert_select": (
-        partial(_script, ["CREATE TABLE u (id UINT32 PRIMARY KEY, name VARCHAR(8) NOT NULL, ok BOOLEAN)", "INSERT INTO u VALUES (4294967295, 'it''s', TRUE)", "INSERT INTO u VALUES (1, '\\n', NULL)", "INSERT INTO u VALUES (1, 'again', NULL)"], "u"),
-        _values(["id", "name", "ok"], [(4294967295, "it's", True), (1, "\\n", None)], ["BIGINT", "VARCHAR", "BOOLEAN"]),
+        partial(_copied, "CREATE TABLE copy (k UINT32 PRIMARY KEY, v VARCHAR(64) NOT NULL, r INT64, low BOOLEAN)", "copy", "INSERT INTO copy VALUES ({0}, {1}, {2}, NULL)", "nation"),
+        f"SELECT n_nationkey AS k, n_name AS v, n_regionkey AS r, CAST(NULL AS BOOLEAN) AS low FROM ({_PAIR}) AS t",
     ),
     "insert_partial_nulls": (
-        partial(_script, ["CREATE TABLE u (id UINT32 PRIMARY KEY, name VARCHAR(8), score INT64, ok BOOLEAN NOT NULL)", "INSERT INTO u (ok, ID) VALUES (FALSE, 2)", "INSERT INTO u (id) VALUES (3)"], "u"),
-        _values(["id", "name", "score", "ok"], [(2, None, None, False)], ["BIGINT", "VARCHAR", "BIGINT", "BOOLEAN"]),
+        partial(_copied, "CREATE TABLE copy (k UINT32 PRIMARY KEY, v VARCHAR(64), r INT64, late BOOLEAN NOT NULL)", "copy", "INSERT INTO copy (late, R, k) VALUES (TRUE, {2}, {0})", "nation"),
+        f"SELECT n_nationkey AS k, CAST(NULL AS VARCHAR) AS v, n_regionkey AS r, TRUE AS late FROM ({_PAIR}) AS t",
+    ),
+    "insert_literals": (
+        partial(_tried, "region", ["INSERT INTO region VALUES (4294967295, 'it''s')", "INSERT INTO region VALUES (90, '\\n')", "INSERT INTO region VALUES (90, 'again')", "INSERT INTO region (r_regionkey) VALUES (91)"]),
+        f"{_SQL['region']} UNION ALL SELECT 4294967295, 'it''s' UNION ALL SELECT 90, '\\n' UNION ALL SELECT 91, NULL",
     ),
     "update_all": (partial(_changed, "customer", ["UPDATE customer SET c_mktsegment = 'X', c_cents = -1"]), f"SELECT c_custkey, c_name, c_nationkey, CAST(-1 AS BIGINT) AS c_cents, 'X' AS c_mktsegment FROM ({_SQL['customer']}) AS t"),
     "update_where": (
@@ -379,12 +482,31 @@ ENTRIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
         partial(_changed, "nation", ["UPDATE nation SET n_regionkey = NULL WHERE n_regionkey = 1", "DELETE FROM nation WHERE n_regionkey > 2"]),
         f"SELECT n_nationkey, n_name, CASE WHEN n_regionkey <> 1 THEN n_regionkey END AS n_regionkey FROM ({_PAIR}) AS t WHERE n_regionkey <= 2",
     ),
-    "txn_commit": (partial(_script, [*_LEDGER, "BEGIN", "INSERT INTO ledger VALUES (1, 10)", "UPDATE ledger SET amount = 5 WHERE id = 0", "COMMIT"], "ledger"), _values(_LEDGER_COLUMNS[0], [(0, 5), (1, 10)], _LEDGER_COLUMNS[1])),
-    "txn_rollback": (partial(_script, [*_LEDGER, "BEGIN TRANSACTION", "INSERT INTO ledger VALUES (1, 10)", "DELETE FROM ledger WHERE id = 0", "ROLLBACK"], "ledger"), _values(_LEDGER_COLUMNS[0], [(0, 0)], _LEDGER_COLUMNS[1])),
-    "txn_error_rollback": (_errors_end_scopes, _values(_LEDGER_COLUMNS[0], [(0, 0), (2, 20)], _LEDGER_COLUMNS[1])),
-    "txn_own_writes": (_own_writes, _values(_LEDGER_COLUMNS[0], [(0, 7), (1, 10)], _LEDGER_COLUMNS[1])),
-    "txn_ddl_rollback": (_ddl_rollback, _values(["table_name"], [("ledger",), ("durable",)], ["VARCHAR"])),
-    "txn_readonly": (_read_only, _values(_LEDGER_COLUMNS[0], [(0, 0), (2, 2)], _LEDGER_COLUMNS[1])),
+    "txn_commit": (partial(_changed, "nation", ["BEGIN", *_SCOPE, "COMMIT"]), _AFTER_SCOPE),
+    "txn_rollback": (partial(_changed, "nation", ["BEGIN TRANSACTION", *_SCOPE, "ROLLBACK", "DELETE FROM nation WHERE n_nationkey = 5"]), f"SELECT * FROM ({_PAIR}) AS t WHERE n_nationkey <> 5"),
+    # A statement that can't be parsed or a failed SELECT leave the scope open; a failed change ends it.
+    "txn_error_rollback": (
+        partial(_tried, "nation", ["BEGIN", _SCOPE[2], "SELECT n_size FROM nation", "DELETE DELETE", "INSERT INTO nation VALUES (9, 'taken', 0)", "COMMIT", _SCOPE[1]]),
+        f"SELECT n_nationkey, n_name, CASE WHEN n_regionkey = 2 THEN 9 ELSE n_regionkey END AS n_regionkey FROM ({_PAIR}) AS t",
+    ),
+    "txn_errors_that_keep_it": (partial(_tried, "nation", ["BEGIN", *_SCOPE, "SELECT n_size FROM nation", "DELETE DELETE", "BEGIN", "COMMIT"]), _AFTER_SCOPE),
+    "txn_own_writes": (_own_writes, _AFTER_SCOPE),
+    "txn_ddl_rollback": (_ddl_rollback, _values(["table_name"], [("nation",), ("made_before_commit",)], ["VARCHAR"])),
+    "txn_readonly": (partial(_tried, "nation", ["BEGIN READ ONLY", *_SCOPE, "SELECT * FROM nation", "COMMIT", "DELETE FROM nation WHERE n_regionkey = 4"]), f"SELECT * FROM ({_PAIR}) AS t WHERE n_regionkey <> 4"),
+    "txn_counters": (_counted, _values(["what", "n"], [("begun", 4), ("committed", 2), ("rolled back", 1), ("rolled back by errors", 1)], ["VARCHAR", "BIGINT"])),
+    "gate_order": (_gate_order, _values(["n", "who"], [(0, "first reader"), (1, "writer"), (2, "later reader")], ["BIGINT", "VARCHAR"])),
+    "nesting_limit": (_nesting, "SELECT depth, depth <= 128 AS taken FROM (SELECT CAST(unnest([1, 64, 127, 128, 129, 400]) AS BIGINT) AS depth)"),
+    "tree_printer": (
+        _printed,
+        f"SELECT r_regionkey, 'Or(And(Ne(Id(r_regionkey),Int(' || r_regionkey || ')),Not(Eq(Id(r_name),String(\"' || r_name || '\")))),Bool(false))' AS form FROM ({_SQL['region']}) AS t",
+    ),
+    "error_places": (_error_places, _values(["n", "line", "place"], [(n, line, place) for n, (_, line, place) in enumerate(_PLACES)], ["BIGINT", "BIGINT", "BIGINT"])),
+    "auto_compaction": (_compacted, _PAIR),
+    "command_line": (
+        _command_line,
+        "WITH t AS (SELECT count(*) AS n FROM region WHERE r_regionkey > 2) SELECT CAST(n AS BIGINT) AS n, line FROM (VALUES (0, 'UPDATE'), (2, 'Parser error'), (3, '0'), (4, '1')) AS v(n, line) "
+        "UNION ALL SELECT 1, n || CASE WHEN n = 1 THEN ' row affected' ELSE ' rows affected' END FROM t",
+    ),
     "pk_range_scan": (_range_scan, f"SELECT * FROM ({_SQL['orders']}) AS t WHERE o_orderkey BETWEEN 100 AND 1000"),
     "ordered_index_scan": (_ordered, _PAIR),
     "by_key_and_rid": (
@@ -396,7 +518,7 @@ ENTRIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "stream_append": (_stream, "SELECT event_id, user_id, event_type FROM events"),
     "stats_report": (_stats_report, _values(["n", "access_path", "rows_examined", "rows_returned", "index_lookups", "affected"], _STATS, ["BIGINT", "VARCHAR", "BIGINT", "BIGINT", "BIGINT", "BIGINT"])),
     "error_catalogue": (_error_catalogue, _values(["n", "kind"], [(n, k) for n, (_, k) in enumerate(_ERRORS)], ["BIGINT", "VARCHAR"])),
-    "reopen_durable": (_reopen, _values(["id", "value"], [(1, "kept"), (3, "after")], ["BIGINT", "VARCHAR"])),
+    "reopen_durable": (_reopen, f"SELECT n_nationkey, CASE WHEN n_regionkey = 1 THEN 'after' ELSE n_name END AS n_name, n_regionkey FROM ({_PAIR}) AS t WHERE n_regionkey <> 0"),
     "cli_text": (
         _cli_text,
         "WITH r AS (SELECT r_name, CAST(greatest(length(r_name), 6) AS INTEGER) AS w FROM region WHERE r_regionkey = 1) "
