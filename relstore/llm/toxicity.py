@@ -244,7 +244,10 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     # grow with the corpus: sort-merge joins at every size.
     hashes = base.select("doc_id", "h1", "h2").join(known.filter(F.col("fold") != CURVE_FOLD).select("doc_id", "label").hint("merge"), "doc_id")
     chosen = hashes.groupBy("h1", "h2", "label").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "h1", "label")
-    train = base.select("doc_id", "h1", "text").join(chosen.hint("merge"), ["doc_id", "h1"]).select("doc_id", "h1", "text", "label")
+    # Chosen rows have these folds only: other texts need not move.
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    taught = base.filter(F.col("doc_id").isNotNull() & ~fold.isin(0, CURVE_FOLD)).select("doc_id", "h1", "text")
+    train = taught.join(chosen.hint("merge"), ["doc_id", "h1"]).select("doc_id", "h1", "text", "label")
     per_task = train.mapInArrow(_count(ORDER), "ngram long, toxic long, ordinary long")
     counts = per_task.groupBy("ngram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")).toArrow()
     ngram, toxic, ordinary = (counts.column(c).to_numpy() for c in ("ngram", "toxic", "ordinary"))
