@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op7_bpe
 from .embedding_dedup import op9_embedding_dedup
 from .exact_dedup import OP8_SQL, op8_exact_dedup
-from .jaccard_join import op5_ngram_jaccard
+from .jaccard_join import OP5_SQL, op5_ngram_jaccard
 from .mixing import op3_mixing
 from .quality import op4_quality
 from .token_counts import op10_token_counts
@@ -36,5 +36,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_warc": OP2_SQL,
+        "op5_ngram_jaccard": OP5_SQL,
         "op8_exact_dedup": OP8_SQL,
     }
