@@ -5,6 +5,10 @@ token themselves nor known already are laid out as rows of matrices, one matrix
 pieces of about the same length. In each round every row merges its leftmost pair of the lowest rank; ranks of
 pairs are found in a hash table; rows are compacted (what follows the merged pair moves one to the
 left), and rows without a pair that has a rank leave the matrix. That gives what merging one piece after the other gives.
+
+A piece of more than LONG bytes is a matrix of its own: its cells stand in blocks, one row each, with the lowest rank of each
+block beside them. A round looks at these and moves cells of one block only, so that its cost grows with the
+square root of the piece's length, not with the length.
 """
 
 from __future__ import annotations
@@ -21,9 +25,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import batch_slices
 
-#: Bytes of pieces that a worker remembers, and cells of one matrix.
-CACHE_PIECES = 400_000
+#: Pieces that a worker remembers, the bytes they may take, and cells of one matrix.
+CACHE_PIECES, CACHE_BYTES = 400_000, 64 << 20
 MATRIX_CELLS = 1 << 20
+#: Longer pieces are merged in blocks.
+LONG = 512
 _NONE = np.int32(2**31 - 1)
 
 
@@ -69,6 +75,16 @@ class PairTable:
             open_ = open_[~hit & (found != -1)]
         return np.where((left < 0) | (right < 0), _NONE, out)
 
+    def rank_of(self, left: int, right: int) -> int:
+        """The rank of one pair."""
+        key = left << 32 | right
+        at = (key * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> int(self.shift)
+        while (found := self.keys[at]) != -1:
+            if found == key:
+                return int(self.rank[at])
+            at = (at + 1) & (len(self.keys) - 1)
+        return int(_NONE)
+
 
 class Vocabulary:
     def __init__(self, path: str):
@@ -143,6 +159,56 @@ def merge_matrix(ids: np.ndarray, length: np.ndarray, pairs: PairTable) -> tuple
     return ids, length
 
 
+def merge_long(ids: np.ndarray, pairs: PairTable) -> np.ndarray:
+    """Merge one long row to the end, in blocks: the row's cells in order, each block filled from the left."""
+    cells = max(2, int(len(ids) ** 0.5))
+    blocks = -(-len(ids) // cells)
+    work = np.full(blocks * cells, -1, np.int32)
+    work[: len(ids)] = ids
+    ranks = np.full(blocks * cells, _NONE, np.int32)
+    ranks[: len(ids) - 1] = pairs.ranks(ids[:-1], ids[1:])
+    work, ranks = work.reshape(blocks, cells), ranks.reshape(blocks, cells)  # a pair stands at its left cell
+    filled = [cells] * blocks
+    filled[-1] = len(ids) - cells * (blocks - 1)
+    # Blocks that have cells, as a chain; `blocks` and -1 end it.
+    after, before = list(range(1, blocks + 1)), list(range(-1, blocks - 1))
+    lowest = ranks.min(axis=1)
+    while True:
+        b = int(lowest.argmin())  # the leftmost block of those with the lowest rank
+        best = lowest[b]
+        if best == _NONE:
+            break
+        at = int(ranks[b].argmin())
+        # The right half of the pair goes; what follows it in its block moves up.
+        of, gone = (b, at + 1) if at + 1 < filled[b] else (after[b], 0)
+        n = filled[of]
+        work[of, gone : n - 1] = work[of, gone + 1 : n]
+        ranks[of, gone : n - 1] = ranks[of, gone + 1 : n]
+        work[of, n - 1], ranks[of, n - 1] = -1, _NONE
+        filled[of] = n - 1
+        if n == 1:
+            after[b] = after[of]
+            if after[of] < blocks:
+                before[after[of]] = b
+        work[b, at] = best
+        # Only the pairs on either side of the merged cell are new.
+        if at + 1 < filled[b]:
+            ranks[b, at] = pairs.rank_of(int(best), int(work[b, at + 1]))
+        elif after[b] < blocks:
+            ranks[b, at] = pairs.rank_of(int(best), int(work[after[b], 0]))
+        else:
+            ranks[b, at] = _NONE
+        if at:
+            ranks[b, at - 1] = pairs.rank_of(int(work[b, at - 1]), int(best))
+        elif (p := before[b]) >= 0:
+            ranks[p, filled[p] - 1] = pairs.rank_of(int(work[p, filled[p] - 1]), int(best))
+            lowest[p] = ranks[p].min()
+        lowest[b] = ranks[b].min()
+        if of != b:
+            lowest[of] = ranks[of].min()
+    return work[work >= 0]
+
+
 def _width(n: int) -> int:
     """The bucket of a length: up to a quarter of a row is padding."""
     if n <= 8:
@@ -159,14 +225,18 @@ class Encoder:
         self.split = regex.compile(pattern)
         self.limit = cache_pieces
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
     def _learn(self, pieces: Iterable[str]) -> None:
         buckets: dict[int, list[tuple[str, bytes]]] = {}
         for p in pieces:
             raw = p.encode("utf-8", "surrogatepass")
+            self.held += 5 * len(raw)  # itself, and four bytes an id at most for each of its own
             whole = self.vocab.ranks.get(raw)
             if whole is not None:
                 self.known[p] = whole.to_bytes(4, "little")
+            elif len(raw) > LONG:
+                self.known[p] = merge_long(self.vocab.byte_ids[np.frombuffer(raw, np.uint8)], self.vocab.pairs).astype("<u4").tobytes()
             else:
                 buckets.setdefault(_width(len(raw)), []).append((p, raw))
         for width, items in buckets.items():
@@ -185,8 +255,8 @@ class Encoder:
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; null is empty."""
         pieces = [self.split.findall(t) if t else [] for t in texts]
-        if len(self.known) > self.limit:
-            self.known = {}
+        if len(self.known) > self.limit or self.held > CACHE_BYTES:
+            self.known, self.held = {}, 0
         known = self.known
         new = {p for x in pieces for p in x if p not in known}
         if new:
