@@ -1,10 +1,13 @@
 """Embedding near-dedup by a pivot-permutation index.
 
-1. Pivots are PIVOTS vectors of a bounded sample. A vector is described by its NEAREST nearest pivots, in order.
+1. Pivots are vectors of a bounded sample, about as many as the square root of the number of vectors (from PIVOTS to MOST_PIVOTS).
+   A vector is described by its nearest pivots, in order: NEAREST of them, and one more for each doubling of the pivots, as
+   neighbours among denser pivots change sooner.
 2. Inverted pivot lists: a vector stands in the list of every two pivots that it has among its nearest, under its label. Two
-   vectors meet if they share two pivots at least; how many they share decides whether they are compared.
-3. Lists are cut into blocks of BLOCK vectors, and each two blocks of a list are one unit of work, so that no list
-   is one task. Where two vectors share several lists, only the list of their two lowest common pivots counts the pair.
+   vectors meet if they share two pivots at least; they are compared if they share SHARED = 3. A list
+   of more than BLOCK vectors is split by a third pivot, which loses nothing, as all that are compared share three.
+3. What is longer still is cut into blocks of BLOCK vectors, and each two blocks of a list are one unit of work, so that no list
+   is one task. Where two vectors share several lists, only the list of their lowest common pivots counts the pair.
 4. Candidates are verified by their cosine in double precision.
 
 Equal vectors are one class: only one of them is indexed, and the others are counted. Units report how many
@@ -24,8 +27,8 @@ from pyspark.sql import functions as F
 from .common import Workspace, limit_threads, read
 from .components import connected_components
 
-#: Rows that pivots are chosen from, pivots, and how many of the nearest describe a vector.
-SAMPLE, PIVOTS, NEAREST = 4096, 128, 6
+#: Rows that pivots are chosen from, the least and the most pivots, and how many of the nearest describe a vector at least.
+SAMPLE, PIVOTS, MOST_PIVOTS, NEAREST = 4096, 128, 2048, 6
 #: Pivots that two vectors must share to be compared.
 SHARED = 3
 BLOCK = 512
@@ -41,6 +44,14 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return v / np.where(length > 0, length, 1)
 
 
+def index_size(vectors: int) -> tuple[int, int]:
+    """Pivots, and nearest ones of a vector, for a number of vectors: the length of lists then hardly grows with it."""
+    pivots, nearest = PIVOTS, NEAREST
+    while pivots < MOST_PIVOTS and pivots * pivots < vectors:
+        pivots, nearest = pivots * 2, nearest + 1
+    return pivots, nearest
+
+
 def choose_pivots(sample: np.ndarray, count: int) -> np.ndarray:
     """Points far from one another: each next one is the sample's farthest from those chosen."""
     if not len(sample):
@@ -86,8 +97,8 @@ def _describe(pivots_b, count: int):
     return run
 
 
-def compare_blocks(a: np.ndarray, b: np.ndarray | None, near_a: np.ndarray, near_b: np.ndarray | None, lo: int, hi: int, pivots: int, shared: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of links between two blocks of the list of pivots lo < hi (b None: within one block)."""
+def compare_blocks(a: np.ndarray, b: np.ndarray | None, near_a: np.ndarray, near_b: np.ndarray | None, listed: tuple[int, ...], pivots: int, shared: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of links between two blocks of the list of the pivots `listed`, in order (b None: within one block)."""
 
     def sets(near: np.ndarray) -> np.ndarray:
         s = np.zeros((len(near), pivots), np.float32)
@@ -97,30 +108,36 @@ def compare_blocks(a: np.ndarray, b: np.ndarray | None, near_a: np.ndarray, near
     sa = sets(near_a)
     sb = sa if b is None else sets(near_b)
     candidate = sa @ sb.T >= shared  # shared-pivot counts
-    # The pair's two lowest common pivots are lo and hi: no other list counts it.
-    candidate &= sa[:, :hi] @ sb[:, :hi].T == (lo < hi)
+    # The pair's lowest common pivots are those listed: no other list counts it.
+    candidate &= sa[:, : listed[-1]] @ sb[:, : listed[-1]].T == len(listed) - 1
     if b is None:
         candidate = np.triu(candidate, 1)
         b = a
     return np.nonzero(candidate & (a @ b.T >= threshold))
 
 
+def _packed(column: pa.Array, dim: int) -> np.ndarray:
+    """Rows of a binary column of `dim` doubles each."""
+    data = np.frombuffer(column.buffers()[2], np.uint8)[column.offset * dim * 8 : (column.offset + len(column)) * dim * 8]
+    return np.frombuffer(data.tobytes(), np.float64).reshape(-1, dim)
+
+
 def _search(dim: int, pivots: int, shared: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         limit_threads()
-        key, held = None, {0: [], 1: []}
+        key, held = None, []
 
         def unit_done() -> pa.RecordBatch | None:
-            if key is None or not held[0]:
+            if key is None:
                 return None
-            _, lo, hi, x, y = key
-            ids = {k: np.array([r[0] for r in held[k]], np.int64) for k in held}
-            if x != y and not held[1]:
+            _, lo, hi, third, x, y = key
+            side, v, copy, vector, nearest = (np.concatenate(c) for c in zip(*held, strict=True))
+            of = {k: side == k for k in ((0,) if x == y else (0, 1))}
+            if not all(m.any() for m in of.values()):
                 return None
-            vec = {k: np.frombuffer(b"".join(r[2] for r in held[k])).reshape(-1, dim) for k in held if held[k]}
-            near = {k: np.array([r[3] for r in held[k]], np.int64) for k in held if held[k]}
-            copies = {k: np.array([r[1] for r in held[k]], np.int64) for k in held}
-            i, j = compare_blocks(vec[0], vec[1] if x != y else None, near[0], near.get(1), lo, hi, pivots, shared, threshold)
+            ids, copies, vec, near = ({k: c[m] for k, m in of.items()} for c in (v, copy, vector, nearest))
+            listed = tuple(sorted({p for p in (lo, hi, third) if p >= 0}))
+            i, j = compare_blocks(vec[0], vec.get(1), near[0], near.get(1), listed, pivots, shared, threshold)
             if not len(i):
                 return None
             side = 1 if x != y else 0
@@ -148,15 +165,21 @@ def _search(dim: int, pivots: int, shared: int, threshold: float):
             return pa.RecordBatch.from_arrays([pa.array(u[keep]), pa.array(v[keep]), pa.array(n[keep]), pa.array(edge[keep])], names=["u", "v", "n", "edge"])
 
         for batch in batches:
-            cols = [batch.column(k).to_pylist() for k in ("label", "lo", "hi", "x", "y", "side", "v", "copies", "vector", "near")]
-            for label, lo, hi, x, y, side, v, copies, vector, near in zip(*cols, strict=True):
-                now = (label, lo, hi, x, y)
+            if not batch.num_rows:
+                continue
+            name = batch.column("label").dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            numbers = [batch.column(k).to_numpy(zero_copy_only=False) for k in ("lo", "hi", "third", "x", "y")]
+            cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in ("side", "v", "copies")]
+            cols += [_packed(batch.column("vector"), dim), batch.column("near").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).astype(np.int64)]
+            turn = np.flatnonzero(np.any([np.diff(c) != 0 for c in [name, *numbers]], axis=0)) + 1
+            for start, end in zip([0, *turn.tolist()], [*turn.tolist(), batch.num_rows], strict=True):
+                now = (batch.column("label")[start].as_py(), *(int(c[start]) for c in numbers))
                 if now != key:
                     out = unit_done()
                     if out is not None:
                         yield out
-                    key, held = now, {0: [], 1: []}
-                held[side].append((v, copies, vector, near))
+                    key, held = now, []
+                held.append([c[start:end] for c in cols])
         out = unit_done()
         if out is not None:
             yield out
@@ -185,14 +208,15 @@ def embedding_components(rows: DataFrame, vec_id: str = "vec_id", embedding: str
     narrow = ws.table(keyed.select("vec_id", "good", F.when(F.col("good"), F.col("key")).alias("key")), "rows")
     classes = keyed.filter("good and vec_id is not null").groupBy("key", "label", "vector").agg(F.min("vec_id").alias("v"), F.count(F.lit(1)).alias("copies"))
     classes = ws.table(classes.withColumn("v", F.xxhash64("key")).select("key", "label", "vector", "copies", "v"), "classes")
-    dims = [r[0] for r in classes.groupBy(F.size("vector").alias("d")).count().orderBy("d").collect()]
+    sizes_of = {r[0]: r[1] for r in classes.groupBy(F.size("vector").alias("d")).count().orderBy("d").collect()}
     edges, counts = None, None
-    for dim in dims:  # one as a rule
+    for dim in sizes_of:  # one as a rule
         own = classes.filter(F.size("vector") == dim)
         # A bounded sample: SAMPLE rows at most.
         sample = own.orderBy(F.xxhash64("v")).limit(SAMPLE).select("vector").toPandas()["vector"]
-        pivots = choose_pivots(np.array([np.asarray(x, np.float64) for x in sample]), PIVOTS)
-        near = min(NEAREST, len(pivots))
+        most, nearest = index_size(sizes_of[dim])
+        pivots = choose_pivots(np.array([np.asarray(x, np.float64) for x in sample]), most)
+        near = min(nearest, len(pivots))
         shared = min(SHARED, near)
         described = own.select("v", "label", "copies", "vector").mapInArrow(_describe(spark.sparkContext.broadcast(pivots), near), "v long, label string, copies long, vector binary, near array<short>")
         described = ws.table(described, "described")
@@ -201,15 +225,21 @@ def embedding_components(rows: DataFrame, vec_id: str = "vec_id", embedding: str
         else:
             pairs = list(combinations(range(near), 2))
         spots = F.array(*[F.struct(F.least(F.col("near")[a], F.col("near")[b]).cast("int").alias("lo"), F.greatest(F.col("near")[a], F.col("near")[b]).cast("int").alias("hi")) for a, b in pairs])
-        posts = described.select("label", "v", F.explode(spots).alias("s")).select("label", "s.lo", "s.hi", "v")
-        sizes = posts.groupBy("label", "lo", "hi").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
-        placed = posts.join(sizes.drop("m"), ["label", "lo", "hi"]).withColumn("block", F.pmod(F.xxhash64("v", F.lit(3)), F.col("blocks")).cast("int"))
+        posts = described.select("label", "v", "near", F.explode(spots).alias("s")).select("label", "s.lo", "s.hi", "v", F.filter("near", lambda p: p > F.col("s.hi")).alias("rest"))
+        key = ["label", "lo", "hi"]
+        sizes = posts.groupBy(*key).agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+        long = (F.col("m") > BLOCK) & F.lit(shared > 2)
+        posts = posts.join(sizes, key).select(*key, F.explode(F.when(long, F.transform("rest", lambda p: p.cast("int"))).otherwise(F.array(F.lit(-1)))).alias("third"), "v")
+        posts = ws.table(posts, "posts")
+        key = ["label", "lo", "hi", "third"]
+        sizes = posts.groupBy(*key).agg(F.count(F.lit(1)).alias("m")).filter("m > 1").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
+        placed = posts.join(sizes.drop("m"), key).withColumn("block", F.pmod(F.xxhash64("v", F.lit(3)), F.col("blocks")).cast("int"))
         # Each block meets itself and all others of its list.
         units = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-            "label", "lo", "hi", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"), "v"
+            *key, F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"), "v"
         )
         full = units.join(described.select("v", "copies", "vector", "near"), "v")
-        work = full.repartition(parts, "label", "lo", "hi", "x", "y").sortWithinPartitions("label", "lo", "hi", "x", "y", "side")
+        work = full.repartition(parts, *key, "x", "y").sortWithinPartitions(*key, "x", "y", "side")
         found = ws.table(work.mapInArrow(_search(dim, len(pivots), shared, threshold), "u long, v long, n long, edge boolean"), "found")
         own_edges, own_counts = found.filter("edge").select("u", "v"), found.filter("not edge").select("u", "n")
         edges = own_edges if edges is None else edges.union(own_edges)
