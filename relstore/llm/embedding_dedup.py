@@ -264,3 +264,29 @@ def embedding_components(rows: DataFrame, vec_id: str = "vec_id", embedding: str
 
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_components(read(spark, sf_dir, "embeddings"))
+
+
+#: Every pair of a label, without an index.
+OP9_SQL = """
+WITH RECURSIVE e AS MATERIALIZED (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+),
+g AS MATERIALIZED (
+  SELECT vec_id, label, x FROM e
+  WHERE x IS NOT NULL AND label IS NOT NULL AND len(x) > 0
+    AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(x, lambda c: c <> 0)) > 0
+),
+links AS MATERIALIZED (
+  SELECT a.vec_id AS u, b.vec_id AS v FROM g AS a JOIN g AS b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+  WHERE list_cosine_similarity(a.x, b.x) >= 0.93
+),
+reach(vec_id, other) AS (
+  SELECT vec_id, vec_id FROM e
+  UNION
+  SELECT reach.vec_id, links.v FROM reach JOIN links ON links.u = reach.other
+),
+c AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id),
+n AS (SELECT u, count(*) AS n_links FROM links GROUP BY u)
+SELECT e.vec_id, CAST(coalesce(n.n_links, 0) AS BIGINT) AS n_links, c.component_id, e.vec_id = c.component_id AS kept
+FROM e JOIN c ON c.vec_id = e.vec_id LEFT JOIN n ON n.u = e.vec_id
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op7_bpe
-from .embedding_dedup import op9_embedding_dedup
+from .embedding_dedup import OP9_SQL, op9_embedding_dedup
 from .exact_dedup import OP8_SQL, op8_exact_dedup
 from .jaccard_join import OP5_SQL, op5_ngram_jaccard
 from .mixing import op3_mixing
@@ -38,4 +38,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_warc": OP2_SQL,
         "op5_ngram_jaccard": OP5_SQL,
         "op8_exact_dedup": OP8_SQL,
+        "op9_embedding_dedup": OP9_SQL,
     }
