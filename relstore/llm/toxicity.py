@@ -260,13 +260,16 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         own = Ratios(*shared.value)
         for part in batch_slices(batches, "text"):
             x, _ = evidence(part.column("text"), own)
-            yield pa.RecordBatch.from_arrays([part.column("label"), *(pa.array(c.copy()) for c in x.T)], names=["label", "a", "b", "c", "d"])
+            keys = ["doc_id", "h1", "h2", "label"]
+            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keys), *(pa.array(c.copy()) for c in x.T)], names=[*keys, "a", "b", "c", "d"])
 
     order = [F.xxhash64("doc_id"), "doc_id", "label"]
     few = known.filter(F.col("fold") == CURVE_FOLD).orderBy(*order).limit(CURVE_ROWS).select("doc_id", "label")
     # CURVE_ROWS labels at most; their documents, of which ids with several texts may give more, are cut in a fixed order too.
-    fitting = base.join(F.broadcast(few), "doc_id").dropDuplicates(["doc_id", "h1", "h2", "label"]).orderBy(*order, "h1", "h2").limit(CURVE_ROWS).select("text", "label")
-    rows = fitting.mapInArrow(describe, "label int, a double, b double, c double, d double").toPandas()
+    # Texts are described where they are read, so that only numbers are sorted and cut.
+    fitting = base.join(F.broadcast(few), "doc_id").select("doc_id", "h1", "h2", "label", "text")
+    described = fitting.mapInArrow(describe, f"doc_id {fitting.schema['doc_id'].dataType.simpleString()}, h1 long, h2 int, label int, a double, b double, c double, d double")
+    rows = described.dropDuplicates(["doc_id", "h1", "h2", "label"]).orderBy(*order, "h1", "h2").limit(CURVE_ROWS).toPandas()
     x = np.concatenate([np.ones((len(rows), 1)), rows[["a", "b", "c", "d"]].to_numpy(float)], axis=1)
     by = np.lexsort(x.T)  # sums don't depend on the order of tasks
     return Model(ratios, fit_curve(x[by], rows["label"].to_numpy(float)[by]))
