@@ -68,7 +68,7 @@ def to_column(b: Bound) -> Column:
     return parts[0]
 
 
-def evaluate(b: Bound, batch: pa.RecordBatch):
+def evaluate(b: Bound, batch: pa.RecordBatch | pa.Table):
     """The predicate over a batch, in three-valued logic."""
     n = batch.num_rows
     if b.kind == "column":
@@ -91,6 +91,14 @@ def evaluate(b: Bound, batch: pa.RecordBatch):
     return out
 
 
+def hits(b: Bound, batch: pa.RecordBatch | pa.Table):
+    """For each row whether the predicate is true."""
+    hit = evaluate(b, batch)
+    if isinstance(hit, pa.Scalar):
+        hit = pa.array([hit.as_py()] * batch.num_rows, pa.bool_())
+    return pc.fill_null(hit, False)
+
+
 def with_match(df: DataFrame, where: Bound | None, name: str) -> DataFrame:
     """df with a boolean column that is true where the predicate is true, and false where it is false or unknown."""
     if where is None:
@@ -102,10 +110,7 @@ def with_match(df: DataFrame, where: Bound | None, name: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hit = evaluate(small, batch)
-            if isinstance(hit, pa.Scalar):
-                hit = pa.array([hit.as_py()] * batch.num_rows, pa.bool_())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pc.fill_null(hit, False)], names=[*batch.schema.names, name])
+            yield pa.RecordBatch.from_arrays([*batch.columns, hits(small, batch)], names=[*batch.schema.names, name])
 
     return df.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + f", `{name}` boolean") if schema else df
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 
@@ -27,22 +28,38 @@ class CommandResult:
 
 
 class SelectResult:
-    """columns and a lazy DataFrame (df). rows and stats run it; its files stay whatever is changed later."""
-
-    def __init__(self, columns: list[str], types: list[str], df: DataFrame, examined: Callable[[], tuple[str, int, int]]):
-        self.columns, self.types, self.df, self._examined = columns, types, df, examined
+    """columns and a lazy DataFrame (df). rows and stats run it, or `near` where its rows can be read without a job; its files stay whatever is changed later."""
+
+    def __init__(
+        self,
+        columns: list[str],
+        types: list[str],
+        plan: Callable[[], DataFrame],
+        examined: Callable[[], tuple[str, int, int]],
+        near: Callable[[], list[tuple]] | None = None,
+    ):
+        self.columns, self.types, self._plan, self._examined, self._near = columns, types, plan, examined, near
         self._rows: list[tuple] | None = None
         self._stats: Stats | None = None
 
+    @cached_property
+    def df(self) -> DataFrame:
+        return self._plan()
+
     def rows(self) -> list[tuple]:
         if self._rows is None:
-            self._rows = [tuple(r) for r in self.df.collect()]
+            self._rows = self._near() if self._near else [tuple(r) for r in self.df.collect()]
         return self._rows
 
+    def first_rows(self, n: int) -> list[tuple]:
+        return self.rows()[:n] if self._near or self._rows is not None else [tuple(r) for r in self.df.limit(n).collect()]
+
     @property
     def stats(self) -> Stats:
         if self._stats is None:
             path, examined, lookups = self._examined()
+            if self._near:
+                self.rows()
             self._stats = Stats(path, examined, len(self._rows) if self._rows is not None else self.df.count(), lookups)
         return self._stats
 
