@@ -14,6 +14,7 @@ Labelled rows are a bounded sample, chosen by a hash of the id. Unlabelled ones
 and what is given grows with them: GIVEN of every POOL. A model learns its gifts in blocks of about POOL rows by a hash, each with all labelled
 rows at one block's share of weight; the blocks' objectives add up to the whole one, and the model is the mean of theirs
 by size (exact for one block, else an approximation). No state is kept by row: what earlier rounds gave away follows from their models and cuts.
+The texts are read once for all rounds: a table holds each unlabelled row's exact trigram counts by slot and its metadata, and rounds read that.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ STEPS, LIMIT = 1024, 32
 #: Of the folds by crc32 that may be learnt from, the one that calibrates.
 CALIBRATION_FOLD = 4
 SCALE, RIDGE = 30.0, 1e-4
+#: Rows whose counts are spread out over all slots at once.
+SPREAD = 512
 _UPPER, _DIGIT, _SIGN, _LETTER = (np.zeros(256, bool) for _ in range(4))
 _UPPER[65:91] = True
 _DIGIT[48:58] = True
@@ -83,6 +86,61 @@ def metadata(texts: pa.Array, lang: list, source: list) -> np.ndarray:
     return out
 
 
+def blobs(data: np.ndarray, at: np.ndarray) -> pa.Array:
+    """Binary values: bytes at[i] to at[i + 1] of the data."""
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def pack_content(texts: pa.Array) -> pa.Array:
+    """A row's trigram counts by slot, exactly: pairs of 16 bits, a slot's distance from the one before and a count (a larger one in several pairs)."""
+    slot, row, n = trigrams(texts)
+    counts = np.bincount(row * WIDTH + slot, minlength=n * WIDTH)
+    cell = np.flatnonzero(counts)
+    count, (row, slot) = counts[cell], np.divmod(cell, WIDTH)
+    times = (count + 0xFFFE) // 0xFFFF
+    if len(times) and times.max() > 1:
+        last = np.cumsum(times) - 1
+        row, slot = np.repeat(row, times), np.repeat(slot, times)
+        rest = count - 0xFFFF * (times - 1)
+        count = np.full(len(row), 0xFFFF)
+        count[last] = rest
+    first = np.searchsorted(row, np.arange(n + 1))
+    gap = np.diff(slot, prepend=0)
+    begins = first[:-1][np.diff(first) > 0]
+    gap[begins] = slot[begins]
+    return blobs(np.stack([gap, count], axis=1).astype("<u2"), first * 4)
+
+
+def unpack_content(packed: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(slot, row, count) of pack_content()'s pairs, and the number of rows."""
+    data, at = text_buffer(packed)
+    pairs, first = data.view("<u2").reshape(-1, 2), at // 4
+    size = np.diff(first)
+    slot = np.cumsum(pairs[:, 0], dtype=np.int64)
+    begins = first[:-1][size > 0]
+    slot -= np.repeat(slot[begins] - pairs[begins, 0], size[size > 0])
+    return slot, np.repeat(np.arange(len(size)), size), pairs[:, 1].astype(float), len(size)
+
+
+#: What metadata() holds of a row, without its zeros.
+_META = np.dtype([("shape", "<f8", 8), ("lang", "u1"), ("source", "u1")])
+
+
+def pack_metadata(meta: np.ndarray) -> pa.Array:
+    out = np.empty(len(meta), _META)
+    out["shape"], out["lang"], out["source"] = meta[:, :8], meta[:, 16:32].argmax(axis=1), meta[:, 32:].argmax(axis=1)
+    return blobs(out.view(np.uint8), np.arange(len(meta) + 1) * _META.itemsize)
+
+
+def unpack_metadata(packed: pa.Array) -> np.ndarray:
+    rows = text_buffer(packed)[0].view(_META)
+    out = np.zeros((len(rows), META), np.float64)
+    out[:, :8] = rows["shape"]
+    out[np.arange(len(rows)), 16 + rows["lang"].astype(int)] = 1
+    out[np.arange(len(rows)), 32 + rows["source"].astype(int)] = 1
+    return out
+
+
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float, steps: int = 200, weight: np.ndarray | None = None) -> np.ndarray:
     """Weights and a last constant, by accelerated gradient descent; weight: of the rows, 1 by default."""
     x1 = np.concatenate([x, np.ones((len(x), 1), x.dtype)], axis=1)
@@ -142,10 +200,23 @@ def co_train(views: list[np.ndarray], y: np.ndarray, pools: list[np.ndarray], ro
     return weights
 
 
+def _frequencies(slot: np.ndarray, row: np.ndarray, count: np.ndarray | None, n: int) -> np.ndarray:
+    counts = np.bincount(row * WIDTH + slot, weights=count, minlength=n * WIDTH).reshape(n, WIDTH)
+    return (counts * SCALE / np.maximum(counts.sum(axis=1, keepdims=True), 1)).astype(np.float16)
+
+
 def content_view(texts: pa.Array) -> np.ndarray:
     slot, row, n = trigrams(texts)
-    counts = np.bincount(row * WIDTH + slot, minlength=n * WIDTH).reshape(n, WIDTH)
-    return (counts * SCALE / np.maximum(counts.sum(axis=1, keepdims=True), 1)).astype(np.float16)
+    return _frequencies(slot, row, None, n)
+
+
+def packed_view(packed: pa.Array) -> np.ndarray:
+    """content_view() of the texts, from pack_content()."""
+    out = np.empty((len(packed), WIDTH), np.float16)
+    for i in range(0, len(packed), SPREAD):
+        slot, row, count, n = unpack_content(packed.slice(i, SPREAD))
+        out[i : i + n] = _frequencies(slot, row, count, n)
+    return out
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,10 +232,10 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sureness(part: pa.RecordBatch, models: list[list[np.ndarray]]) -> list[list[np.ndarray]]:
     """Log-odds of the rows by both views, for each pair of models. The same for a row whatever rows it comes with."""
-    slot, row, n = trigrams(part.column("text"))
-    size = np.maximum(np.bincount(row, minlength=n), 1)
-    meta = metadata(part.column("text"), part.column("lang").to_pylist(), part.column("source").to_pylist())
-    return [[np.bincount(row, weights=c[:-1][slot], minlength=n) * SCALE / size + c[-1], (meta * m[:-1]).sum(axis=1) + m[-1]] for c, m in models]
+    slot, row, count, n = unpack_content(part.column("content"))
+    size = np.maximum(np.bincount(row, weights=count, minlength=n), 1)
+    meta = unpack_metadata(part.column("meta"))
+    return [[np.bincount(row, weights=c[:-1][slot] * count, minlength=n) * SCALE / size + c[-1], (meta * m[:-1]).sum(axis=1) + m[-1]] for c, m in models]
 
 
 def _steps(z: np.ndarray) -> np.ndarray:
@@ -197,6 +268,19 @@ def _unlabelled(batches: Iterator[pa.RecordBatch], known: np.ndarray) -> Iterato
         yield from batch_slices([batch.filter(pa.array(~(same & batch.column("id_hash").is_valid().to_numpy(zero_copy_only=False))))], "text")
 
 
+def _profiles(known_b):
+    """row_hash, content, meta: the unlabelled rows as the rounds read them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in _unlabelled(batches, known_b.value):
+            for i in range(0, whole.num_rows, SPREAD):
+                part = whole.slice(i, SPREAD)
+                meta = metadata(part.column("text"), part.column("lang").to_pylist(), part.column("source").to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column("row_hash"), pack_content(part.column("text")), pack_metadata(meta)], names=["row_hash", "content", "meta"])
+
+    return run
+
+
 def _given(part: pa.RecordBatch, rounds: list, after: list | None = None) -> tuple[list[np.ndarray], np.ndarray, list[np.ndarray]]:
     """([verdicts of either model in the round that took the row], still left, log-odds of the models `after`)."""
     models = [r[0] for r in rounds] + ([after] if after else [])
@@ -211,13 +295,13 @@ def _given(part: pa.RecordBatch, rounds: list, after: list | None = None) -> tup
     return found, left, z[-1] if after else []
 
 
-def _histogram(known_b, state_b):
+def _histogram(state_b):
     """view, step, count of the unlabelled rows that no round has taken."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (rounds, models), width = state_b.value, LIMIT * STEPS
         counts = np.zeros((4, 2 * width + 1), np.int64)
-        for part in _unlabelled(batches, known_b.value):
+        for part in batch_slices(batches, "content"):
             _, left, z = _given(part, rounds, models)
             for k in (0, 1):
                 for label, signed in ((0, -z[k]), (1, z[k])):
@@ -228,12 +312,12 @@ def _histogram(known_b, state_b):
     return run
 
 
-def _gifts(known_b, state_b):
+def _gifts(state_b):
     """view, block, row_hash, label, features: what each view learns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rounds, blocks = state_b.value
-        for part in _unlabelled(batches, known_b.value):
+        for part in batch_slices(batches, "content"):
             found, _, _ = _given(part, rounds)
             for k in (0, 1):
                 at = np.flatnonzero(found[1 - k] >= 0)
@@ -241,9 +325,8 @@ def _gifts(known_b, state_b):
                     continue
                 rows = part.take(pa.array(at))
                 h = rows.column("row_hash").to_numpy()
-                features = content_view(rows.column("text")) if k == 0 else metadata(rows.column("text"), rows.column("lang").to_pylist(), rows.column("source").to_pylist()).astype(np.float32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(at), k)), pa.array((h >> 20) % blocks[k]), rows.column("row_hash"), pa.array(found[1 - k][at]), pa.array([x.tobytes() for x in features], pa.binary())],
+                    [pa.array(np.full(len(at), k)), pa.array((h >> 20) % blocks[k]), rows.column("row_hash"), pa.array(found[1 - k][at]), rows.column("meta" if k else "content")],
                     names=["view", "block", "row_hash", "label", "features"],
                 )
 
@@ -257,7 +340,8 @@ def _fit_block(labelled_b, blocks: list[int]):
         views, y = labelled_b.value
         k = table.column("view")[0].as_py()
         table = table.sort_by([("row_hash", "ascending"), ("label", "ascending")])
-        own = np.frombuffer(b"".join(table.column("features").to_pylist()), np.float32 if k else np.float16).reshape(len(table), -1).astype(views[k].dtype if k else np.float32)
+        packed = table.column("features").combine_chunks()
+        own = unpack_metadata(packed).astype(np.float32).astype(views[k].dtype) if k else packed_view(packed).astype(np.float32)
         x = np.concatenate([views[k].astype(own.dtype), own])
         weight = np.concatenate([np.full(len(y), 1 / blocks[k]), np.ones(len(table))])
         w = fit_logistic(x, np.concatenate([y, table.column("label").to_numpy()]), RIDGE, weight=weight)
@@ -278,13 +362,15 @@ def co_train_all(docs: DataFrame, known: np.ndarray, views: list[np.ndarray], y:
     if share in (0.0, 1.0) or not len(y):
         return models
     hashed = docs.select(F.xxhash64("doc_id", "text", "lang", "source").alias("row_hash"), F.when(F.col("doc_id").isNotNull(), id_hash()).alias("id_hash"), "text", "lang", "source")
-    known_b, labelled_b = sc.broadcast(known), sc.broadcast(([views[0].astype(np.float16), views[1]], y))
+    ws = Workspace(docs.sparkSession, "cotrain")
+    pool = ws.table(hashed.mapInArrow(_profiles(sc.broadcast(known)), "row_hash long, content binary, meta binary"), "profiles", compression="zstd")
+    labelled_b = sc.broadcast(([views[0].astype(np.float16), views[1]], y))
     past: list = []
     wanted: tuple[int, int] | None = None
     total = [0, 0]  # what each view was given
     for _ in range(rounds):
         # At most 4 * (2 * LIMIT * STEPS + 1) rows.
-        found = hashed.mapInArrow(_histogram(known_b, sc.broadcast((past, models))), "kind long, step long, n long").groupBy("kind", "step").agg(F.sum("n").alias("n")).toPandas().sort_values("step")
+        found = pool.mapInArrow(_histogram(sc.broadcast((past, models))), "kind long, step long, n long").groupBy("kind", "step").agg(F.sum("n").alias("n")).toPandas().sort_values("step")
         if not len(found):
             break
         if wanted is None:
@@ -296,13 +382,14 @@ def co_train_all(docs: DataFrame, known: np.ndarray, views: list[np.ndarray], y:
         for k in (0, 1):
             total[1 - k] += sum(min(n, int(pick(k, label)["n"].sum())) for label, n in ((1, wanted[0]), (0, wanted[1])))
         blocks = [max(1, round(n / POOL)) for n in total]
-        gifts = hashed.mapInArrow(_gifts(known_b, sc.broadcast((past, blocks))), "view long, block long, row_hash long, label long, features binary")
+        gifts = pool.mapInArrow(_gifts(sc.broadcast((past, blocks))), "view long, block long, row_hash long, label long, features binary")
         fitted = gifts.groupBy("view", "block").applyInArrow(_fit_block(labelled_b, blocks), "view long, rows long, weights array<double>").toPandas()
         models = list(models)
         for k in (0, 1):
             own = fitted[fitted["view"] == k].sort_values("rows")
             if len(own):
                 models[k] = np.average(np.stack(own["weights"].to_list()), axis=0, weights=own["rows"]).astype(models[k].dtype)
+    ws.close()
     return models
 
 
